@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cooccur, lines, mixing, spans, tokens
+from textloom.llm import cooccur, history, lines, mixing, spans, tokens
 from textloom.runtime import materialize, table
 
 
@@ -47,6 +47,11 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.cleaned_articles(table(spark, d, "search_sentence"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that repeat an accepted one, with it."""
+    return history.repeated_articles(table(spark, d, "search_sentence"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """doc_id and ids of every document by byte_bpe_50k."""
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -88,7 +93,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_blocks, p3_clean, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_blocks, p3_clean, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
 
 _MEMBERS = """WITH m AS (
   SELECT DISTINCT 'sentence' AS basket_kind, sentence_index AS basket, lower(trim(e)) AS item
