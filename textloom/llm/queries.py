@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cooccur, history, lines, mixing, spans, tokens
+from textloom.llm import cooccur, history, lines, mixing, sentences, spans, tokens
 from textloom.runtime import materialize, table
 
 
@@ -32,6 +32,12 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("lift", F.round("lift", 6)).withColumn("log_odds", F.round("log_odds", 6))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every stored sentence and document."""
+    records = materialize(sentences.stored_texts(table(spark, d, "search_sentence"), table(spark, d, "documents")), "records")
+    return sentences.sentence_units(records, sentences.train_on(records))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose line is in at least 6 articles of its source."""
     return lines.found_lines(table(spark, d, "search_sentence"))
@@ -93,7 +99,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_blocks, p3_clean, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p3_found, p3_blocks, p3_clean, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
 
 _MEMBERS = """WITH m AS (
   SELECT DISTINCT 'sentence' AS basket_kind, sentence_index AS basket, lower(trim(e)) AS item
