@@ -8,12 +8,13 @@
    and streams these documents through them: every occurrence of every phrase, compared letter by letter. Phrases that
    no document of the task holds aren't in its automata, so all work is linear in the corpus.
 4. An occurrence has a context: the up to 250 code points in which a run of 150 with this phrase as its anchor can lie.
-   Documents with the same context share a run outright. Where a phrase has several contexts, the 150-grams of each
-   context are compared; contexts are few, as equal ones count once.
+   Documents with the same context share a run outright. Where a phrase has several contexts, those 150-grams of each
+   context are compared whose anchor the phrase is; contexts are few, as equal ones count once.
 5. Documents that share one run form a class; classes of equal documents are kept once. Pairs come from the classes, in
    blocks, so that a class of any size is spread over tasks.
 
-Runs are compared by 128-bit fingerprints of their text. Defined cases: null, empty and shorter texts share nothing; a
+Runs and contexts are compared by 64-bit fingerprints of their text within one phrase, itself known by 64 bits: 128 in
+all. Defined cases: null, empty and shorter texts share nothing; a
 run repeated only inside one document isn't shared; copies of a text share all of it; a null document id is no
 document; an empty table gives no rows (a report row of 0 for a document that shares nothing).
 """
@@ -126,19 +127,21 @@ def _rows(hold: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2])], names=["doc_id", "at", "gram"])
 
 
+def _long(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows doc_id, at, phrase, context (hashes), lead (characters of the context before the phrase), size (of the context), text (its characters, once per automaton)."""
     names = ["doc_id", "at", "phrase", "context", "lead", "size", "text"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
-    digest = xxhash.xxh3_128_digest
-
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
     def search(ids: list[int], texts: list[str], phrases: list[str]) -> Iterator[pa.RecordBatch]:
         auto = ahocorasick.Automaton()
         for p in phrases:
-            auto.add_word(p, digest(p.encode("utf-8", "surrogatepass")))
+            auto.add_word(p, _long(p))
         auto.make_automaton()
         out: list[tuple] = []
-        told: set[bytes] = set()
+        told: set[tuple[int, int]] = set()
         for doc, text in zip(ids, texts):
             for end, phrase in auto.iter(text):
                 a = end + 1 - GRAM
@@ -147,9 +150,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(own) < RUN:
                     continue
                 lead = a - lo
-                context = digest(lead.to_bytes(2, "little") + own.encode("utf-8", "surrogatepass"))
-                out.append((doc, a, phrase, context, lead, len(own), None if context in told else own))
-                told.add(context)
+                context = _long(own, lead + 1)
+                out.append((doc, a, phrase, context, lead, len(own), None if (phrase, context) in told else own))
+                told.add((phrase, context))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                 out = []
@@ -180,14 +183,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 150-grams of contexts that hold the phrase: context, offset, run (128-bit)."""
-    digest = xxhash.xxh3_128_digest
+    """The 150-grams of contexts whose anchor the phrase is: phrase, context, j (place in the context), run (hash)."""
+    w = RUN - GRAM + 1
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
     for b in batches:
-        context, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for a in range(0, len(context), 500):
-            rows = [(c, j, digest(t[j : j + RUN].encode("utf-8", "surrogatepass"))) for c, t in zip(context[a : a + 500], text[a : a + 500]) for j in range(len(t) - RUN + 1)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], names=["context", "j", "run"])
+        rows: list[tuple[int, int, int, int]] = []
+        for phrase, context, lead, text in zip(*(c.to_pylist() for c in b.columns)):
+            h = gram_hashes(code_points(text), GRAM)
+            own = np.flatnonzero(_window(h, w, np.minimum) == h[lead]).tolist()
+            rows.extend((phrase, context, j, _long(text[j : j + RUN])) for j in own)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["phrase", "context", "j", "run"])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -196,31 +202,34 @@ def occurrences(docs: DataFrame) -> DataFrame:
     grams = materialize(docs.mapInArrow(_anchor_rows, "doc_id bigint, at int, gram bigint"), "anchors")
     recurring = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
     places = grams.join(recurring, "gram", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    found = docs.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(_occurrences, "doc_id bigint, at int, phrase binary, context binary, lead int, size int, text string")
+    found = docs.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(_occurrences, "doc_id bigint, at int, phrase bigint, context bigint, lead int, size int, text string")
     return materialize(found, "occurrences")
 
 
 def shared_runs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of contexts and what is shared of each context (step 4).
 
-    First: cls (binary), context: contexts of one class hold one same run of 150. Second: context, begin, end
-    (code points of the context that another document holds too).
+    First: phrase, cls, context: contexts of one (phrase, cls) hold one same run of 150. Second: phrase, context, begin,
+    end (code points of the context that another document holds too).
     """
     each = found.groupBy("phrase", "context", "size").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     each = materialize(each, "contexts")
-    several = each.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1")
-    texts = found.where("text is not null").select("phrase", "context", "text")
-    mixed = texts.join(several, "phrase", "left_semi").dropDuplicates(["context"]).select("context", "text")
-    grams = materialize(mixed.mapInArrow(_context_grams, "context binary, j int, run binary").join(each.select("context", "a", "b"), "context"), "runs")
-    runs = grams.groupBy("run").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("context").cast("decimal(20,0)")).alias("sig")).where("least < most")
-    across = runs.where("c0 <> c1")
+    several = each.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
+    texts = found.where("text is not null").select("phrase", "context", "lead", "text")
+    mixed = texts.join(several, "phrase", "left_semi").dropDuplicates(["phrase", "context"])
+    grams = materialize(mixed.mapInArrow(_context_grams, "phrase bigint, context bigint, j int, run bigint"), "runs")
+    ends = each.select("phrase", "context", "a", "b")
+    runs = grams.join(ends, ["phrase", "context"]).groupBy("phrase", "run").agg(
+        F.min("a").alias("least"), F.max("b").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("context")).alias("sig")
+    )
+    runs = materialize(runs.where("least < most").select("phrase", "run", "n", "sig", (F.col("c0") != F.col("c1")).alias("across")), "shared")
     # neighbouring runs mostly join the same contexts: one of each set is enough for the classes
-    one = across.groupBy("n", "sig").agg(F.min("run").alias("run"))
-    classes = grams.join(one.select("run"), "run", "left_semi").select(F.col("run").alias("cls"), "context").distinct()
+    one = runs.where("across").groupBy("phrase", "n", "sig").agg(F.min("run").alias("run"))
+    classes = grams.join(one.select("phrase", "run"), ["phrase", "run"], "left_semi").select("phrase", F.col("run").alias("cls"), "context").distinct()
     same = each.where("a < b")
-    classes = classes.unionByName(same.select(F.col("context").alias("cls"), "context"))
-    whole = same.select("context", F.lit(0).alias("begin"), F.col("size").alias("end"))
-    parts = grams.join(runs.select("run"), "run", "left_semi").select("context", F.col("j").alias("begin"), (F.col("j") + RUN).alias("end"))
+    classes = classes.unionByName(same.select("phrase", F.col("context").alias("cls"), "context"))
+    whole = same.select("phrase", "context", F.lit(0).alias("begin"), F.col("size").alias("end"))
+    parts = grams.join(runs.select("phrase", "run"), ["phrase", "run"], "left_semi").select("phrase", "context", F.col("j").alias("begin"), (F.col("j") + RUN).alias("end"))
     return classes, whole.unionByName(parts)
 
 
@@ -228,22 +237,22 @@ def shared_pairs(docs: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b of every two documents that hold one same run of at least 150 code points."""
     found = occurrences(docs)
     classes, _ = shared_runs(found)
-    member = materialize(classes.join(found.select("context", "doc_id").distinct(), "context").select("cls", "doc_id").distinct(), "members")
-    size = member.groupBy("cls").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("y")
-    ).where("n > 1")
-    once = size.groupBy("n", "x", "y").agg(F.min("cls").alias("cls")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("cls", "blocks")
-    m = member.join(once, "cls")
-    left = m.select("cls", F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
-    right = m.select("cls", F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("block"))
-    return left.join(right, ["cls", "block"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    held = found.select("phrase", "context", "doc_id").distinct()
+    member = materialize(classes.join(held, ["phrase", "context"]).select("phrase", "cls", "doc_id").distinct(), "members")
+    size = member.groupBy("phrase", "cls").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
+    once = size.groupBy("n", "x", "y").agg(F.min(F.struct("phrase", "cls")).alias("k"))  # one class of each set of documents
+    once = once.select("k.phrase", "k.cls", F.ceil(F.col("n") / BLOCK).cast("bigint").alias("blocks"))
+    m = member.join(once, ["phrase", "cls"])
+    left = m.select("phrase", "cls", F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
+    right = m.select("phrase", "cls", F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["phrase", "cls", "block"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
 def shared_amount(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, shared_chars, shared_part: how many of a document's code points lie in runs that another document holds."""
     found = occurrences(docs)
     _, parts = shared_runs(found)
-    spans = found.select("doc_id", "at", "lead", "context").join(parts, "context")
+    spans = found.select("doc_id", "at", "lead", "phrase", "context").join(parts, ["phrase", "context"])
     spans = spans.select("doc_id", (F.col("at") - F.col("lead") + F.col("begin")).alias("b"), (F.col("at") - F.col("lead") + F.col("end")).alias("e")).distinct()
     # islands: a span that begins behind all earlier ends begins a new stretch
     w = Window.partitionBy("doc_id").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
