@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cooccur, history, lines, mixing, sentences, spans, tokens
+from textloom.llm import cooccur, history, lines, mixing, names, sentences, spans, tokens
 from textloom.runtime import materialize, table
 
 
@@ -53,6 +53,16 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.cleaned_articles(table(spark, d, "search_sentence"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of keys whose names mean the same person or body."""
+    return names.name_pairs(names.typed_names(table(spark, d, "kg_name"), table(spark, d, "page")), table(spark, d, "nickname"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every readable name's key with its entity."""
+    return names.name_groups(names.typed_names(table(spark, d, "kg_name"), table(spark, d, "page")), table(spark, d, "nickname"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles that repeat an accepted one, with it."""
     return history.repeated_articles(table(spark, d, "search_sentence"))
@@ -99,7 +109,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p3_found, p3_blocks, p3_clean, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p3_found, p3_blocks, p3_clean, p4_found, p4_groups, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
 
 _MEMBERS = """WITH m AS (
   SELECT DISTINCT 'sentence' AS basket_kind, sentence_index AS basket, lower(trim(e)) AS item

@@ -206,7 +206,7 @@ def _ends_here(line: str, begin: int, end: int, decide: Callable[[str, int, int]
     if marks <= {"!", "?"}:
         after = _NEXT.match(line, end)
         kind = _kind(after.group(3))
-        if kind == "low" and not after.group(2) or kind in ("dig", "sign") and not after.group(1):
+        if kind == "low" and not after.group(2) or kind == "dig" and not after.group(1):
             return False  # a name that ends in a mark, or an address
         return bool(after.group(1)) or not _ADDRESS.search(line, max(0, begin - 2000), begin)
     return True
