@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.plans import nested_queries
+from textloom.plans import index_queries, nested_queries, text_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _r in (text_queries.R, index_queries.R):
+    QUERIES.update(_r.queries)
+    ORACLE.update(_r.oracle)
 for _m in (nested_queries,):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
-FLAGSHIP = "p6_found"
+FLAGSHIP = "tk01_bm25_top10"
