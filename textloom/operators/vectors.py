@@ -47,7 +47,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), _v(vector).alias("qv"))
     packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(1, -(-q.count() // block)))).alias("b")).agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
     c = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), _v(vector).alias("cv"))
-    parts = c.withColumn("part", F.spark_partition_id()).groupBy("part", F.floor(F.rand(7) * 4).alias("slice")).agg(F.collect_list(F.struct("key", "cv")).alias("cs"))
+    parts = c.withColumn("part", F.spark_partition_id()).groupBy("part", F.pmod(F.xxhash64("key"), F.lit(4)).alias("slice")).agg(F.collect_list(F.struct("key", "cv")).alias("cs"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
