@@ -113,7 +113,7 @@ def pivot_group(triples: DataFrame, group: str, fields: dict[str, str], keys: li
     paths = [f"{group}.{f}" for f in fields]
     rows = triples.where(F.col("path").isin(group, *paths))
     out = rows.groupBy("record_id", *at).agg(
-        F.max(F.col("path") == group).alias("there"), *[F.max(F.when(F.col("path") == f"{group}.{f}", F.col("value"))).alias(c) for f, c in fields.items()]
+        F.max((F.col("path") == group) & (F.col("kind") == "object")).alias("there"), *[F.max(F.when(F.col("path") == f"{group}.{f}", F.col("value"))).alias(c) for f, c in fields.items()]
     )
     return out.where("there").drop("there")
 
