@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 20_000
 TRAIN_CANDIDATES = 60_000
 _DIMS = 4096
 
@@ -288,7 +288,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_on(records: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model trained on a bounded sample: about ``rows`` texts, those with the least hashes of their ids. ``records``: record_id, text."""
     share = min(1.0, rows / max(1, records.count()))
-    some = records.where("text is not null").where(F.xxhash64("record_id") <= int((share - 0.5) * (2**64 - 2))).select("text")
+    some = records.where("text is not null").where(F.xxhash64("record_id") <= min(2**63 - 1, int((share - 0.5) * 2**64))).select("text")
     found = some.mapInArrow(_labelled, "f array<string>, label boolean, n bigint").groupBy("f", "label").agg(F.sum("n").alias("n"))
     found = found.orderBy(F.desc("n"), "f", "label").limit(TRAIN_CANDIDATES)
     return train({(tuple(r["f"]), r["label"]): r["n"] for r in found.collect()})
