@@ -117,7 +117,7 @@ def features(line: str, begin: int, end: int) -> tuple[str, ...]:
     inner = "." in word
     size = min(len(tail), 4)
     first = _kind(word[:1]) if word else "none"
-    nxt = ("sp" if spaced else "no") + ("(" if opening else "") + _kind(after)
+    nxt = ("sp" if spaced else "no") + _kind(after)
     at = end + len(spaced) + len(opening)
     following = _WORD.match(line, at).group()
     initial = len(following) == 1 and line[at + 1 : at + 2] == "."
@@ -127,14 +127,14 @@ def features(line: str, begin: int, end: int) -> tuple[str, ...]:
     ident = tail if 0 < len(tail) <= 4 and not tail[-1].isdigit() else ""
     return (
         "omit" if omission else "dot", known, shape, nxt, f"{known}|{nxt}", f"{omission}|{gap}|{nxt}", f"{shape}|{nxt}", f"{last}|{nxt}|{month}",
-        f"init{initial}|{nxt}|{size}", f"id={ident}",
+        f"init{initial}|{nxt}|{size}", f"id={ident}", f"open{bool(opening)}|{known}",
     )
 
 
 def reliable(f: tuple[str, ...]) -> bool | None:
     """The label of a candidate that can be told from its signs alone; None where it can't."""
     kind, known, shape, nxt = f[:4]
-    spaced, after = nxt.startswith("sp"), nxt[2:].lstrip("(")
+    spaced, after = nxt.startswith("sp"), nxt[2:]
     if after in ("low", "cjk", "thai", "indic"):
         return False
     if kind == "omit":
@@ -147,6 +147,8 @@ def reliable(f: tuple[str, ...]) -> bool | None:
     if single:
         return False
     if after in ("up", "rtl"):
+        if shape.startswith("digdig"):
+            return True if spaced else None  # dates are told apart above
         if shape.endswith("."):
             return None
         if shape.startswith(("lowlow", "uplow", "rtlrtl", "letlet")) and (size >= 2 or spaced and known != "never"):
@@ -178,7 +180,7 @@ def train(samples: dict[tuple[tuple[str, ...], bool], int], rounds: int = 400, r
     """Weights that maximise the likelihood of labelled candidates (with their numbers); without any, a plain prior."""
     w = np.zeros(_DIMS)
     if not samples:
-        samples = {(("dot", "no", "lowlow4", "spup", "no|spup", "False|False|spup", "lowlow4|spup", "low|spup|False", "initFalse|spup|4", "id="), True): 1}
+        samples = {(("dot", "no", "lowlow4", "spup", "no|spup", "False|False|spup", "lowlow4|spup", "low|spup|False", "initFalse|spup|4", "id=", "openFalse|no"), True): 1}
     x = np.array([_slots(f) for f, _ in samples])
     y = np.array([float(label) for _, label in samples])
     c = np.log1p(np.array(list(samples.values()), dtype=float))
