@@ -62,20 +62,22 @@ _BEFORE = regex.compile(r"[^\s\p{Ps}\p{Pi}\p{Pe}\p{Pf}\"'„,;:，、；：。
 def _pairs(line: str) -> list[tuple[int, int]]:
     """Outermost matched pairs of one line: places of the opening and the closing sign."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # how often each closing sign is awaited, so that none is looked for in vain
     found: list[tuple[int, int]] = []
     for m in _SIGN.finditer(line):
         c, at = m.group(), m.start()
-        open_at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-        if open_at is not None:
-            begin = stack[open_at][1]
-            del stack[open_at:]
+        if waiting.get(c):
+            sign, begin = "", at
+            while sign != c:
+                sign, begin = stack.pop()
+                waiting[sign] -= 1
             while found and found[-1][0] > begin:
                 found.pop()
             found.append((begin, at))
-        elif c == '"':
-            stack.append(('"', at))
-        elif c in _OPEN:
-            stack.append((_OPEN[c], at))
+        elif c == '"' or c in _OPEN:
+            sign = _OPEN.get(c, c)
+            stack.append((sign, at))
+            waiting[sign] = waiting.get(sign, 0) + 1
     return found
 
 
@@ -238,7 +240,12 @@ def _line_ends(line: str, decide: Callable[[str, int, int], bool]) -> list[int]:
         if _ends_here(line, at, end, decide):
             ends.append(end)
     if max(line) >= "ก" and _THAI_BLANK.search(line):
-        ends.extend(m.start() for m in _THAI_BLANK.finditer(line) if not any(a < m.start() < b for a, b in pairs))
+        k = 0
+        for m in _THAI_BLANK.finditer(line):
+            while k < len(pairs) and pairs[k][1] < m.start():
+                k += 1
+            if k == len(pairs) or pairs[k][0] > m.start():
+                ends.append(m.start())
         ends.sort()
     return ends
 
