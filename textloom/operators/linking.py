@@ -94,6 +94,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
     The frontier is what was reached and not visited before; each round is written to the shared folder.
     """
+    edges = materialize(edges.select("subj", "obj").distinct(), "edges") if depth > 1 else edges
     seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "seen")
     frontier = seen
     for step in range(1, depth + 1):

@@ -193,7 +193,7 @@ def triples(spark, d):
     a = o.select(v("c", "o_custkey").alias("subj"), F.lit("placed").alias("pred"), v("o", "o_orderkey").alias("obj"))
     b = l.select(v("o", "l_orderkey").alias("subj"), F.lit("holds").alias("pred"), v("p", "l_partkey").alias("obj"))
     c = l.select(v("p", "l_partkey").alias("subj"), F.lit("from").alias("pred"), v("s", "l_suppkey").alias("obj"))
-    return a.unionByName(b).unionByName(c).distinct()
+    return a.unionByName(b.distinct()).unionByName(c.distinct())
 
 
 _T = """tr AS (SELECT DISTINCT 'c' || o_custkey AS subj, 'placed' AS pred, 'o' || o_orderkey AS obj FROM orders
