@@ -71,7 +71,7 @@ def js01_json_fields(spark, d):
     return e.groupBy("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
 
 
-@R.add("SELECT kbid, to_json({'kbid': kbid, 'popular': popular}) AS j FROM kg_entity WHERE popular IS NOT NULL")
+@R.add("SELECT kbid, CAST(to_json({'kbid': kbid, 'popular': popular}) AS VARCHAR) AS j FROM kg_entity WHERE popular IS NOT NULL")
 def pf18_json_projection(spark, d):
     return table(spark, d, "kg_entity").where("popular is not null").select("kbid", F.to_json(F.struct("kbid", "popular")).alias("j"))
 
