@@ -223,7 +223,7 @@ class ArticleIndex:
         return taken, gone, pairs
 
 
-def repeated_articles(df: DataFrame, batches: int = 3) -> DataFrame:
+def repeated_articles(df: DataFrame, batches: int = 2) -> DataFrame:
     """docid_a < docid_b: each repeating article of ``search_sentence`` with the accepted ones it repeats, days taken in so many batches."""
     spark = df.sparkSession
     every = materialize(articles(df), "articles")
