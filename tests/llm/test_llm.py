@@ -168,12 +168,12 @@ def test_repeated_lines(spark):
 def test_names(spark):
     kg = [("a", "Tobrin Gurlurdurdis"), ("b", "Gurlurdurdis, Tobrin"), ("c", "TOBRIN  GURLURDÜRDIS"), ("d", "Tobrin Gurlurdurids"), ("e", "Bo Gurlurdurdis"), ("f", "Dr. Tobrin R. Gurlurdurdis (actor)"), ("g", "T. Gurlurdurdis"),
           ("h", "Kestova Gurlurdurdis"), ("i", "The Gurlurdurdis Football Club"), ("j", "Gurlurdurdis F.C."), ("k", "Institute of Optics (Runvulburmer)"), ("l", "Runvulburmer Inst. of Optics"), ("m", "Runvulburmer Institute of Textiles"),
-          ("n", "贝茉·萨杰马露"), ("o", "貝茉·薩傑馬露"), ("p", "萨杰马露，贝茉"), ("q", "贝茉萨杰马露"), ("r", "萨杰马露足球俱乐部"), ("s", None), (None, "Tobrin Gurlurdurdis"), ("t", " "), ("u", "A long title that is no name at all")]
+          ("n", "贝茉·萨杰马露"), ("o", "貝茉·薩傑馬露"), ("p", "萨杰马露，贝茉"), ("q", "贝茉萨杰马露"), ("r", "萨杰马露足球俱乐部"), ("s", None), (None, "Tobrin Gurlurdurdis"), ("t", " "), ("w", "Ulvessa Muselzildor"), ("x", "U. Muselzildor"), ("y", "Muselzildor U. of Optics"), ("u", "A long title that is no name at all")]
     kg += [(f"v{i}", f"贝茉·{x}") for i, x in enumerate(("甲乙丙丁", "戊己庚辛", "子丑寅卯"))]
     pages = [(1, 0, "Tobrin_Gurlurdurdis"), (2, 4, "Tobrin_Gurlurdurdis"), (3, 0, None), (1, 0, "Tobrin_Gurlurdurdis")]
     n = names.typed_names(spark.createDataFrame(kg, "kbid string, name string").withColumn("key", F.lit(1)), spark.createDataFrame(pages, "page_id long, page_namespace int, page_title string"))
     nick = spark.createDataFrame([("Tobrin", "Bo"), ("Kestova", "Stovie"), (None, None)], "given string, nick string")
-    sets = [["a", "b", "c", "d", "e", "f", "g", "page:1"], ["i", "j"], ["k", "l"], ["n", "o", "p", "q"]]
+    sets = [["a", "b", "c", "d", "e", "f", "g", "page:1"], ["w", "x"], ["i", "j"], ["k", "l"], ["n", "o", "p", "q"]]
     want = {tuple(sorted(p)) for s in sets for p in itertools.combinations(s, 2)}
     assert {tuple(r) for r in names.name_pairs(n, nick).collect()} == want
     assert names.name_pairs(n.limit(0), nick.limit(0)).collect() == []
