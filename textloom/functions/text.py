@@ -81,10 +81,14 @@ def clean_up_tokenization(x: Column | str) -> Column:
     return x
 
 
+# Signs whose runs stand apart in standardised text.
+SIGN_RUNS = r"""(-+|~+|!+|"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)"""
+
+
 def text_standardize(x: Column | str) -> Column:
     """Plain dashes and quotes, runs of signs set apart, white space in order (ST13)."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(x), "[—–―]", "-"), "…", "..."), "´", "'")
-    t = F.regexp_replace(t, r"""(-+|~+|!+|"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)""", " $1 ")
+    t = F.regexp_replace(t, SIGN_RUNS, " $1 ")
     t = F.regexp_replace(t, r"[ \t\r\f]*\n[ \t\r\f\n]*", " \n ")
     return F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]+", " "), r"^[ \n]+|[ \n]+$", "")
 

@@ -145,10 +145,14 @@ def bio_mentions(tokens: DataFrame, doc: str, at: str, word: str, tag: str) -> D
     return g.select(doc, "begin", "end", "etype", F.array_join(F.transform("r", lambda x: x[word]), " ").alias("text"))
 
 
+# Tags of nouns, names, places, foreign words and abbreviations.
+NOUN_TAGS = ("n", "nh", "ni", "nl", "ns", "nz", "ws", "j")
+
+
 def phrase_chunks(tokens: DataFrame, doc: str, at: str, word: str, pos: str) -> DataFrame:
     """doc, begin, end, text: stretches of neighbouring tokens of one noun tag (WN3, DL10)."""
     w = Window.partitionBy(doc).orderBy(at)
-    nouns = F.col(pos).isin("n", "nh", "ni", "nl", "ns", "nz", "ws", "j")
+    nouns = F.col(pos).isin(*NOUN_TAGS)
     t = tokens.withColumn("first", F.coalesce(F.col(pos) != F.lag(pos).over(w), F.lit(True)))
     t = t.withColumn("run", F.sum(F.col("first").cast("int")).over(w)).where(nouns)
     g = t.groupBy(doc, "run").agg(F.min(at).alias("begin"), (F.max(at) + 1).alias("end"), F.array_sort(F.collect_list(F.struct(at, word))).alias("r"))

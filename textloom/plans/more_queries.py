@@ -251,7 +251,7 @@ def dl10_mention_candidates(spark, d):
     t = tokens(spark, d)
     w = Window.partitionBy("_id").orderBy("pos_no")
     run = t.withColumn("f", F.coalesce(F.col("pos") != F.lag("pos").over(w), F.lit(True)).cast("int")).withColumn("run", F.sum("f").over(w))
-    run = run.where(F.col("pos").isin("n", "nh", "ni", "nl", "ns", "nz", "ws", "j") & F.col("word").isNotNull())
+    run = run.where(F.col("pos").isin(*L.NOUN_TAGS) & F.col("word").isNotNull())
     g = run.groupBy("_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos_no", "word"))), lambda x: x["word"]).alias("words"))
     every = F.when(F.size("words") > 1, F.concat(F.array(F.array_join("words", "")), "words")).otherwise(F.col("words"))
     return g.select("_id", F.explode(every).alias("mention")).groupBy("_id", "mention").agg(F.count("*").alias("n"))
