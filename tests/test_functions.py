@@ -209,3 +209,16 @@ def test_streams(spark, tmp_path):
     q = jobs.dialog_state(s).writeStream.format("memory").queryName("states").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("states").collect()} == {(1, 1, "AllNewEntity", 1), (1, 2, "ExistAndNewEntity", 2), (1, 4, "out of order", 2), (2, 1, "NoEntity", 0)}
+
+
+def test_dense_ids_and_scratch(spark):
+    from textloom import runtime
+
+    df = spark.createDataFrame([(x,) for x in (5, 3, 9, 1, 7)], "v int").repartition(3)
+    got = sorted(map(tuple, runtime.add_dense_ids(df, ["v"], "id", 10).select("v", "id").collect()))
+    assert got == [(1, 10), (3, 11), (5, 12), (7, 13), (9, 14)]
+    assert runtime.add_dense_ids(df.limit(0), ["v"], "id").collect() == []
+    path = runtime._MADE[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    runtime.clear_scratch(spark)
+    assert not os.path.isdir(path)

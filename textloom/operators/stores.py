@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.runtime import path_exists
+
 
 def absent_rows(batch: DataFrame, store: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of a batch whose key the store lacks, each key once, the first by ``order`` (SK1, JN16). Null keys are left out."""
@@ -28,13 +30,8 @@ def upsert(store: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def append_absent(batch: DataFrame, path: str, key: str, order: str) -> int:
     """Append to a Parquet store the batch's rows it lacks; returns how many. A store that doesn't exist yet is made."""
     spark = batch.sparkSession
-    try:
-        store = spark.read.parquet(path)
-        new = absent_rows(batch, store, key, order)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = absent_rows(batch, batch.limit(0), key, order)
+    store = spark.read.parquet(path) if path_exists(spark, path) else batch.limit(0)
+    new = absent_rows(batch, store, key, order)
     new = new.cache()
     n = new.count()
     new.write.mode("append").parquet(path)

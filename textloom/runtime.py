@@ -49,13 +49,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, through Hadoop's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+#: Scratch paths made so far.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str = "t") -> str:
-    """A new path in the shared folder, removed when the driver exits."""
+    """A new path in the shared folder, removed when the driver exits or by ``clear_scratch``."""
+    if not _MADE:
+        atexit.register(clear_scratch, spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(delete_path, spark, path)
+    _MADE.append(path)
     return path
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch folders of this driver; results that weren't written elsewhere can't be read afterwards."""
+    while _MADE:
+        delete_path(spark, _MADE.pop())
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors, columns stay prunable."""
     spark = df.sparkSession

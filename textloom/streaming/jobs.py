@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textloom.operators.index import term_frequencies
 from textloom.operators.stores import absent_rows
+from textloom.runtime import path_exists
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -54,12 +55,7 @@ def index_stream(terms: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select("_id").distinct()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = batch.select("_id").limit(0)
+        known = spark.read.parquet(path).select("_id").distinct() if path_exists(spark, path) else batch.select("_id").limit(0)
         new = term_frequencies(batch.join(known, "_id", "left_anti")).withColumn("batch", F.lit(number))
         new.repartition("word").write.mode("append").parquet(path)
 
@@ -70,12 +66,8 @@ def insert_stream(rows: DataFrame, path: str, checkpoint: str, key: str, order:
     """Insert-if-absent of a stream into a store (SK1)."""
 
     def add(batch: DataFrame, _: int) -> None:
-        try:
-            store = batch.sparkSession.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            store = batch.limit(0)
+        spark = batch.sparkSession
+        store = spark.read.parquet(path) if path_exists(spark, path) else batch.limit(0)
         absent_rows(batch, store, key, order).write.mode("append").parquet(path)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
