@@ -236,6 +236,18 @@ def test_new_batches(spark, monkeypatch, hot):
     assert history.repeated_articles(df.limit(0)).collect() == []
 
 
+def test_index_is_kept(spark, tmp_path):
+    rng = random.Random(11)
+    old = "".join(rng.choice(string.ascii_lowercase) for _ in range(300))
+    ddl = "docid string, news_date int, text string"
+    path = f"file://{tmp_path}/index"
+    history.ArticleIndex(spark, path).add(spark.createDataFrame([("a", 1, old)], ddl))
+    again = history.ArticleIndex(spark, path)
+    got = again.add(spark.createDataFrame([("b", 2, old[:-3] + "xyz"), ("c", 2, old[::-1])], ddl))
+    assert [tuple(r) for r in got.collect()] == [("b", "a")]
+    assert {r["docid"] for r in again.accepted().collect()} == {"a", "c"}
+
+
 # --- p7, p8
 
 

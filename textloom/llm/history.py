@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.spans import code_points, gram_hashes
-from textloom.runtime import materialize, scratch_path
+from textloom.runtime import materialize, path_exists, scratch_path
 
 RUN = 5
 SHARE = 0.6
@@ -125,11 +125,11 @@ def _side(cells: DataFrame, side: str, *more: str) -> DataFrame:
 
 
 class ArticleIndex:
-    """The persisted index; ``path`` is a shared folder, a new one by default."""
+    """The persisted index; ``path`` is a shared folder, a new one by default. An index that is there is gone on with."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or scratch_path(spark, "article-index")
-        self.batches = 0
+        self.batches = int(path_exists(spark, f"{self.path}/texts"))
 
     def _kept(self, name: str, ddl: str) -> DataFrame:
         if not self.batches:
