@@ -173,6 +173,19 @@ def test_edges(spark):
     assert [(r["exact"], round(r["f1"], 3)) for r in s] == [(1, 1.0), (0, 0.667), (1, 1.0), (0, 0.0)]
 
 
+def test_constraints_without_entities(spark):
+    from textloom.operators import index
+
+    ddl = "constraint_id long, source string, category string, entity_list array<string>, topic_category array<string>, days_ago int, entity_number int, sentence_length_max int, sentence_length_min int, sentence_position int"
+    none = [None] * 9
+    set_at = lambda **kw: [kw.get(c.split()[0]) for c in ddl.split(", ")[1:]]
+    asked = [(1, *set_at(source="a")), (2, *set_at(category="c", sentence_position=1)), (3, *set_at(topic_category=["t", "u"])), (4, *set_at(days_ago=1)), (5, *set_at(sentence_length_min=1, sentence_length_max=5)), (6, *set_at(sentence_position=1)), (7, *none), (8, *set_at(sentence_length_max=5)), (9, *set_at(entity_list=["x"], source="a")), (10, *set_at(source="a", category="d")), (11, *set_at(entity_number=1))]
+    rows = [("s1", " A", "c", ["X "], ["t", "u"], 20220712, 1, 4, 1), ("s2", "a", "d", None, ["u"], 20220101, 0, 9, 2), ("s3", None, "c", [], None, None, 0, None, None)]
+    s = spark.createDataFrame(rows, "_id string, source string, category string, entity_set array<string>, topic_category array<string>, news_date int, entity_len int, sentence_length int, sentence_position int")
+    got = sorted((r["constraint_id"], r["_id"]) for r in index.match_constraints(spark.createDataFrame(asked, ddl), s, 20220712).collect())
+    assert got == [(1, "s1"), (1, "s2"), (2, "s1"), (3, "s1"), (3, "s2"), (4, "s1"), (5, "s1"), (6, "s1"), (9, "s1"), (10, "s2"), (11, "s1")]
+
+
 def test_tightening(spark):
     rows = [("r", f"s{i}", 20220101 + i % 28, 1 + i % 5, 20220101, 5) for i in range(200)]
     got = dialog.tightened(spark.createDataFrame(rows, "r string, s string, d int, p int, since int, upto int"), "r", "d", "p").collect()

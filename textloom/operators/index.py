@@ -106,15 +106,19 @@ def search_predicate(c: dict, today: int) -> Column | None:
     return out
 
 
-def match_constraints(requests: DataFrame, rows: DataFrame, today: int) -> DataFrame:
-    """constraint_id and _id of every sentence each request allows (PF1 for all requests at once).
+#: Blocks of sentences each source, category or topic is dealt into, so that a large one doesn't sit in one task.
+BLOCKS = 16
+
+
+def match_constraints(requests: DataFrame, rows: DataFrame, today: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """constraint_id and _id (and the columns ``carry``) of every sentence each request allows (PF1 for all requests at once).
 
     Requests with entities meet sentences by entity; those without, by source, category or topic, whichever they have
-    first; the other constraints are tested on what meets. A request with none of these is refused, as a query
-    without constraints is.
+    first, in blocks; those with bounds alone meet all sentences. The other constraints are tested on what meets. Only a
+    request with no constraint at all is refused; a length counts as one if it has both ends.
     """
     r = requests.select("constraint_id", "source", "category", "entity_list", "topic_category", "days_ago", "entity_number", "sentence_length_max", "sentence_length_min", "sentence_position")
-    s = rows.select("_id", F.lower(F.trim("source")).alias("s_source"), F.col("category").alias("s_category"), "entity_set", F.col("topic_category").alias("s_topics"), "news_date", "entity_len", "sentence_length", F.col("sentence_position").alias("s_position"))
+    s = rows.select("_id", F.lower(F.trim("source")).alias("s_source"), F.col("category").alias("s_category"), "entity_set", F.col("topic_category").alias("s_topics"), "news_date", "entity_len", "sentence_length", F.col("sentence_position").alias("s_position"), *[F.col(c).alias(f"c_{c}") for c in carry])
     since = F.date_format(F.date_sub(F.to_date(F.lit(str(today)), "yyyyMMdd"), F.col("days_ago")), "yyyyMMdd").cast("int")
     bounds = F.col("sentence_length_max").isNotNull() & F.col("sentence_length_min").isNotNull()
     rest = (
@@ -126,5 +130,15 @@ def match_constraints(requests: DataFrame, rows: DataFrame, today: int) -> DataF
         & (~bounds | F.col("sentence_length").between(F.col("sentence_length_min"), F.col("sentence_length_max")))
         & (F.col("sentence_position").isNull() | (F.col("s_position") <= F.col("sentence_position")))
     )
+    out = ["constraint_id", "_id", *[F.col(f"c_{c}").alias(c) for c in carry]]
     by_entity = r.where("entity_list is not null").withColumn("e", F.explode("entity_list")).join(s.withColumn("e", F.explode(F.array_distinct(F.transform("entity_set", lambda x: F.lower(F.trim(x)))))), "e")
-    return by_entity.where(rest).select("constraint_id", "_id").distinct()
+    by_entity = by_entity.where(rest).select(*out).dropDuplicates(["constraint_id", "_id"])
+    none = r.where("entity_list is null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    dealt = s.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(BLOCKS)).cast("int"))
+    by_source = none.where("source is not null").join(dealt, (F.col("source") == F.col("s_source")) & (none["block"] == dealt["block"]) & rest)
+    by_category = none.where("source is null and category is not null").join(dealt, (F.col("category") == F.col("s_category")) & (none["block"] == dealt["block"]) & rest)
+    topics = none.where("source is null and category is null and topic_category is not null").withColumn("t", F.explode(F.array_distinct("topic_category")))
+    by_topic = topics.join(dealt.withColumn("t", F.explode(F.array_distinct("s_topics"))), ["t", "block"]).where(rest).select(*out).dropDuplicates(["constraint_id", "_id"])
+    alone = r.where("entity_list is null and source is null and category is null and topic_category is null").where(F.col("days_ago").isNotNull() | F.col("entity_number").isNotNull() | bounds | F.col("sentence_position").isNotNull())
+    by_bounds = alone.join(s, rest)
+    return by_entity.unionByName(by_source.select(*out)).unionByName(by_category.select(*out)).unionByName(by_topic).unionByName(by_bounds.select(*out))

@@ -196,7 +196,26 @@ AND (c.sentence_length_max IS NULL OR c.sentence_length_min IS NULL OR s.sentenc
 AND (c.sentence_position IS NULL OR s.sentence_position <= c.sentence_position)"""
 )
 def pf01_constraint_search(spark, d):
-    """The stated query set of requests (ids divisible by 20) against all sentences."""
+    """The stated query set of requests (ids divisible by 20) with entities, as the SQL has it, against all sentences; ``pf01_all_requests`` takes those without entities too."""
+    return I.match_constraints(constraints(spark, d).where((F.col("constraint_id") % QUERY_STEP == 0) & F.col("entity_list").isNotNull()), sentences(spark, d), TODAY)
+
+
+@R.add(
+    f"""WITH {S_SQL}, {C_SQL}, se AS (SELECT DISTINCT _id, lower(trim(e)) AS kbid FROM (SELECT _id, unnest(entity_set) AS e FROM s) WHERE trim(e) <> ''),
+st AS (SELECT DISTINCT _id, unnest(topic_category) AS topic FROM s), q AS (SELECT *, constraint_id IN (SELECT constraint_id FROM ce) AS named, constraint_id IN (SELECT constraint_id FROM ct) AS themed FROM c WHERE constraint_id % {QUERY_STEP} = 0),
+me AS (SELECT DISTINCT ce.constraint_id, se._id FROM ce JOIN se USING (kbid) WHERE ce.constraint_id % {QUERY_STEP} = 0),
+mt AS (SELECT DISTINCT ct.constraint_id, st._id FROM ct JOIN st USING (topic) WHERE ct.constraint_id % {QUERY_STEP} = 0)
+SELECT q.constraint_id, s._id FROM q CROSS JOIN s LEFT JOIN me ON me.constraint_id = q.constraint_id AND me._id = s._id LEFT JOIN mt ON mt.constraint_id = q.constraint_id AND mt._id = s._id
+WHERE (q.named OR q.themed OR q.source IS NOT NULL OR q.category IS NOT NULL OR q.days_ago IS NOT NULL OR q.entity_number IS NOT NULL OR (q.sentence_length_max IS NOT NULL AND q.sentence_length_min IS NOT NULL) OR q.sentence_position IS NOT NULL)
+AND (NOT q.named OR me._id IS NOT NULL) AND (NOT q.themed OR mt._id IS NOT NULL)
+AND (q.source IS NULL OR lower(trim(s.source)) = q.source) AND (q.category IS NULL OR s.category = q.category)
+AND (q.days_ago IS NULL OR s.news_date >= CAST(strftime(DATE '2022-07-12' - CAST(q.days_ago AS INT), '%Y%m%d') AS INT))
+AND (q.entity_number IS NULL OR s.entity_len >= q.entity_number)
+AND (q.sentence_length_max IS NULL OR q.sentence_length_min IS NULL OR s.sentence_length BETWEEN q.sentence_length_min AND q.sentence_length_max)
+AND (q.sentence_position IS NULL OR s.sentence_position <= q.sentence_position)"""
+)
+def pf01_all_requests(spark, d):
+    """The stated query set of requests (ids divisible by 20), with and without entities, against all sentences."""
     return I.match_constraints(constraints(spark, d).where(F.col("constraint_id") % QUERY_STEP == 0), sentences(spark, d), TODAY)
 
 
