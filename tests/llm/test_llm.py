@@ -236,6 +236,26 @@ def test_new_batches(spark, monkeypatch, hot):
     assert history.repeated_articles(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [200, 1])
+def test_arrival_order_of_refused(spark, monkeypatch, hot):
+    """y ~ x ~ z, y and z apart: x repeats y alone, a copy of x after z repeats both."""
+    monkeypatch.setattr(history, "HOT", hot)
+    rng = random.Random(12)
+    x = "".join(rng.choice(string.ascii_lowercase) for _ in range(400))
+    other = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(70))
+    y, z = other() + x[70:], x[:330] + other()
+    arts = [(1, "y", y), (2, "x", x), (3, "z", z), (4, "x2", x), (4, "y2", y), (5, "z2", z)]
+    ddl = "docid string, news_date int, text string"
+    one = history.ArticleIndex(spark).add(spark.createDataFrame([(d, n, t) for n, d, t in arts], ddl))
+    want = {("x", "y"), ("x2", "y"), ("x2", "z"), ("y2", "y"), ("z2", "z")}
+    assert {tuple(sorted(p)) for p in want} == brute_repeats(arts)
+    assert sorted(tuple(r) for r in one.collect()) == sorted(want)
+    index = history.ArticleIndex(spark)
+    index.add(spark.createDataFrame([("y", 1, y)], ddl))
+    later = index.add(spark.createDataFrame([(d, n, t) for n, d, t in arts[1:]], ddl))
+    assert sorted(tuple(r) for r in later.collect()) == sorted(want)
+
+
 def test_index_is_kept(spark, tmp_path):
     rng = random.Random(11)
     old = "".join(rng.choice(string.ascii_lowercase) for _ in range(300))

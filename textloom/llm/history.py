@@ -11,7 +11,8 @@ Cells around centroids with triangle bounds were tried on paper and given up: ve
 the same distance from any centroid, so no cell could be passed by. Min-wise cells find a pair at the threshold of 0.6
 with probability 1 - (1 - 0.6^3)^40 > 0.9999 and the sketch keeps it with 0.9998; at 0.65 either misses 3 in a million.
 
-Within a batch articles count in order (date, then id). Equal texts are handled once. While some cell is larger than
+Within a batch articles count in order (date, then id): each repeats only what was accepted before it. Equal texts are
+compared once, and every copy gets the matches that stand before that copy. While some cell is larger than
 ``HOT``, only the first of each cell is compared with the rest of it; a first of all its cells is accepted for certain,
 and what repeats it drops out, so crowds of near copies are never paired with one another.
 
@@ -149,21 +150,22 @@ class ArticleIndex:
         made = batch.select("docid", F.col("news_date").cast("int").alias("news_date"), "text").mapInArrow(_vectors, "docid string, news_date int, text string, copy binary, n int, cells array<bigint>, s0 bigint, s1 bigint")
         new = materialize(made, "new")
         when = F.struct(F.coalesce("news_date", F.lit(2**31 - 1)).alias("d"), F.col("docid").alias("id"))
-        first = materialize(new.where("n > 0").groupBy("copy").agg(F.min(when).alias("first"), F.count("*").alias("copies")).select("copy", "first", F.col("first.id").alias("docid"), "copies"), "first")
-        own = new.join(first.select("docid", F.col("first").alias("at")), "docid")
-        cells = materialize(own.select("docid", "at", "n", "s0", "s1", F.explode("cells").alias("cell")), "cells")
+        first = materialize(new.where("n > 0").groupBy("copy").agg(F.min(when).alias("first"), F.max(when).alias("last"), F.count("*").alias("copies")).select("copy", "first", "last", F.col("first.id").alias("docid"), "copies"), "first")
+        own = new.join(first.select("docid", F.col("first").alias("at"), "last"), "docid")
+        cells = materialize(own.select("docid", "at", "last", "n", "s0", "s1", F.explode("cells").alias("cell")), "cells")
         texts = new.select("docid", "text")
         old = self._probe(cells, self.cells())
         old = _verified(old, texts, self.accepted().select("docid", "text")) if self.batches else self.spark.createDataFrame([], "a string, b string")
         taken, gone, pairs = self._resolve(cells, texts, old.select(F.col("a").alias("docid")).distinct())
-        late = cells.join(gone, "docid", "left_semi")
-        more = self._probe(late, cells.join(taken, "docid", "left_semi")).where("a <> b")
-        links = old.unionByName(pairs).unionByName(_verified(more, texts, texts) if self._any(gone) else pairs.limit(0)).distinct()
-        links = materialize(links, "links")
-        copies = new.select("docid", "copy").join(first.where("copies > 1").select("copy", F.col("docid").alias("first")), "copy").where("docid <> first")
-        of_copies = copies.join(links, F.col("first") == F.col("a")).select(F.col("docid").alias("a"), "b")
-        of_first = copies.join(taken.select(F.col("docid").alias("first")), "first", "left_semi").select(F.col("docid").alias("a"), F.col("first").alias("b"))
-        cases = materialize(links.unionByName(of_copies).unionByName(of_first).select(F.col("a").alias("docid"), F.col("b").alias("repeats")), "cases")
+        # what is refused is held against all that was accepted before its last copy
+        late, known = _side(cells.join(gone, "docid", "left_semi"), "a", "last"), _side(cells.join(taken, "docid", "left_semi"), "b", "at")
+        more = late.join(known, "cell").where((F.col("last_a") > F.col("at_b")) & _near()).select("a", "b").distinct()
+        links = materialize(pairs.unionByName(_verified(more, texts, texts) if self._any(gone) else pairs.limit(0)).distinct(), "links")
+        every = new.where("n > 0").select("docid", "copy", when.alias("at")).join(first.select("copy", F.col("docid").alias("a"), "copies"), "copy").drop("copy")
+        of_old = old.join(every, "a").select("docid", F.col("b").alias("repeats"))
+        of_new = links.join(first.select(F.col("docid").alias("b"), F.col("first").alias("at_b")), "b").join(every, "a").where("at > at_b").select("docid", F.col("b").alias("repeats"))
+        of_first = every.where("copies > 1 and docid <> a").join(taken.select(F.col("docid").alias("a")), "a", "left_semi").select("docid", F.col("a").alias("repeats"))
+        cases = materialize(of_old.unionByName(of_new).unionByName(of_first), "cases")
         short = new.where("n = 0").select("docid")
         keep = taken.unionByName(short)
         new.join(keep, "docid", "left_semi").select("docid", "news_date", "n", "text").write.mode("append").parquet(f"{self.path}/texts")
@@ -182,7 +184,7 @@ class ArticleIndex:
         return x.join(y, "cell").where(_near()).select("a", "b").distinct()
 
     def _resolve(self, cells: DataFrame, texts: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Accepted ids, ids that still have to be held against them, and the pairs (repeating, accepted) already known."""
+        """Accepted ids, ids that still have to be held against them, and the pairs (refused, accepted) already known, in either order."""
         open_cells = cells.join(repeated, "docid", "left_anti")
         taken = cells.sparkSession.createDataFrame([], "docid string")
         gone = repeated
@@ -219,7 +221,8 @@ class ArticleIndex:
             gone_a, gone_b = out.select(F.col("docid").alias("a")), out.select(F.col("docid").alias("b"))
             left = materialize(left.join(gone_a, "a", "left_anti").join(gone_b, "b", "left_anti").select("a", "b"), "left")
         taken = materialize(taken.unionByName(ids.join(lost, "docid", "left_anti")), "taken")
-        pairs = pairs.join(taken.select(F.col("docid").alias("b")), "b", "left_semi").select("a", "b")
+        swapped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a later copy of a refused text may follow what the first came before
+        pairs = pairs.unionByName(swapped).join(taken.select(F.col("docid").alias("b")), "b", "left_semi").select("a", "b")
         return taken, gone, pairs
 
 
