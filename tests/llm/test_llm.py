@@ -200,6 +200,27 @@ def test_components_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, groups.block_pairs(m, ["g"], "k").collect())) == sorted(itertools.combinations(range(20), 2))
 
 
+def test_large_components_keep_their_links(spark, monkeypatch):
+    rng = random.Random(13)
+    words = {"hallorandt", "brennaghey"}
+    while len(words) < 40:
+        t = list(rng.choice(["hallorandt", "brennaghey", "hallorindt"]))
+        for _ in range(rng.choice([1, 1, 2])):
+            t[rng.randrange(len(t))] = rng.choice("aeioubd")
+        words.add("".join(t))
+    df = spark.createDataFrame([(w, 50 if w in ("hallorandt", "brennaghey") else 1) for w in sorted(words)], "word string, n int")
+    whole = sorted(tuple(r) for r in names.word_clusters(df).collect())
+    monkeypatch.setattr(names, "COMPONENT", 4)
+    assert sorted(tuple(r) for r in names.word_clusters(df).collect()) == whole
+    links = [("a", "b", 0.9), ("b", "c", 0.8), ("c", "d", 0.85), ("d", "e", 0.3), ("e", "f", 0.5), ("a", "c", 0.2), ("f", "g", 0.3)]
+    at = {w: i for i, w in enumerate("abcdefg")}
+    for least in (0.1, 0.2, 0.4):
+        ids = names.average_linkage(list("abcdefg"), *[names.np.array(v) for v in ([at[a] for a, _, _ in links], [at[b] for _, b, _ in links], [c for _, _, c in links])], least)
+        groups_of = lambda pairs: {frozenset(w for w, k in pairs if k == x) for _, x in pairs}
+        got = [tuple(r) for r in names.linkage_rounds(spark.createDataFrame(links, "a string, b string, cosine double"), least).select("word", "label").collect()]
+        assert groups_of(got) == groups_of(list(zip("abcdefg", ids)))
+
+
 # --- p5
 
 

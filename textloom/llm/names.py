@@ -29,7 +29,7 @@ from textloom.runtime import materialize
 
 COSINE = 0.3
 LINKAGE = 0.2
-#: Largest component linked in one task; larger ones are cut at higher cosines first.
+#: Largest component linked in one task; larger ones are linked in rounds over all tasks, with the same result.
 COMPONENT = 1_500
 #: Given names and kinds of bodies learned from the names: so many at most are sent to all tasks.
 LEXICON = 20_000
@@ -338,18 +338,49 @@ def word_clusters(words: DataFrame) -> DataFrame:
     links = pairs.mapInArrow(check, "a string, b string, cosine double")
     links = links.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     links = materialize(links.select("a", "b", "cosine", "na", "nb"), "links")
-    out, least = None, COSINE
-    while True:  # components too large for one task are cut at higher cosines
-        label = components(links)
-        sized = label.join(label.groupBy("component").count(), "component")
-        edges = links.join(sized.select(F.col("node").alias("a"), "component", "count"), "a")
-        done = edges.where(F.col("count") <= COMPONENT).groupBy("component").applyInPandas(lambda rows: _link_component(rows), "word string, cluster string")
-        out = done if out is None else out.unionByName(done)
-        large = edges.where(F.col("count") > COMPONENT)
-        if large.isEmpty() or least > 0.95:
-            return materialize(out, "clusters")
-        least += 0.1
-        links = materialize(large.where(F.col("cosine") >= least).select("a", "b", "cosine", "na", "nb"), "links")
+    label = components(links)
+    sized = label.join(label.groupBy("component").count(), "component")
+    edges = materialize(links.join(sized.select(F.col("node").alias("a"), "component", "count"), "a"), "edges")
+    done = edges.where(F.col("count") <= COMPONENT).groupBy("component").applyInPandas(lambda rows: _link_component(rows), "word string, cluster string")
+    large = edges.where(F.col("count") > COMPONENT).select("a", "b", "cosine", "na", "nb")
+    return materialize(done if large.isEmpty() else done.unionByName(_link_large(large)), "clusters")
+
+
+def linkage_rounds(links: DataFrame, least: float) -> DataFrame:
+    """word, label: average linkage as ``average_linkage`` does it, for components of any size. ``links``: a, b, cosine.
+
+    Only the sums of linked cluster pairs are kept. In each round all pairs of clusters that are each other's nearest are
+    joined; as a mean with a third cluster never exceeds the higher of the two before, this gives the clusters of joining
+    the nearest pair of all one after the other. Sums are whole numbers, so their order doesn't matter; ties are broken by name.
+    """
+    s = links.select("a", "b", F.round(F.col("cosine") * 1e12).cast("decimal(38,0)").alias("s"))
+    sums = materialize(s.select(F.col("a").alias("x"), F.col("b").alias("y"), "s").unionByName(s.select(F.col("b").alias("x"), F.col("a").alias("y"), "s")), "sums")
+    label = materialize(sums.select(F.col("x").alias("word")).distinct().withColumn("label", F.col("word")), "labels")
+    while True:
+        size = label.groupBy("label").agg(F.count("*").alias("n"))
+        both = sums.join(size.select(F.col("label").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("label").alias("y"), F.col("n").alias("ny")), "y")
+        mean = both.select("x", "y", (F.col("s").cast("double") / 1e12 / (F.col("nx") * F.col("ny"))).alias("m")).where(F.col("m") >= least)
+        # one order of all pairs, the same from both sides: the first of all is always joined
+        order = F.struct((-F.col("m")).alias("m"), F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+        best = mean.groupBy("x").agg(F.min(order).alias("o")).select("x", "o.p", "o.q")
+        joined = materialize(best.groupBy("p", "q").count().where("count = 2").select(F.col("q").alias("old"), F.col("p").alias("new")), "joined")
+        if joined.isEmpty():
+            return label
+        label = materialize(label.join(joined, F.col("label") == F.col("old"), "left").select("word", F.coalesce("new", "label").alias("label")), "labels")
+        for c in ("x", "y"):
+            sums = sums.join(joined, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        sums = materialize(sums.where("x <> y").groupBy("x", "y").agg(F.sum("s").cast("decimal(38,0)").alias("s")), "sums")
+
+
+def _link_large(links: DataFrame) -> DataFrame:
+    """word, cluster of components too large for one task."""
+    counts = links.select(F.col("a").alias("word"), F.col("na").alias("n")).unionByName(links.select(F.col("b").alias("word"), F.col("nb").alias("n"))).distinct()
+
+    def lead(rows: pd.DataFrame) -> pd.DataFrame:
+        to = leaders(list(rows["word"]), dict(zip(rows["word"], rows["n"])))
+        return pd.DataFrame({"word": list(to), "cluster": list(to.values())})
+
+    return linkage_rounds(links, LINKAGE).join(counts, "word").groupBy("label").applyInPandas(lead, "word string, cluster string")
 
 
 def name_groups(names: DataFrame, nicknames: DataFrame) -> DataFrame:
