@@ -162,6 +162,31 @@ def test_repeated_lines(spark):
     assert all(kept[d]["removed_lines"] == len({i for i, _, x, _ in rows if x == d and i in gone}) for d in kept)
 
 
+def test_blocks_have_no_longest_length(spark):
+    long = [f"line {chr(97 + k)} of the notice" for k in range(19)]
+    cycle = ["tick", "tock"] * 9
+    rows = []
+    for d in range(4):
+        own = ["head " + "xyzw"[d], *long[: 19 if d < 3 else 12], "tail " + "xyzw"[d], *cycle]
+        rows += [(f"d{d}_{i:02}", f"d{d}", " S", i, t, 1, 1) for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, SENTENCE)
+    docs = collections.defaultdict(list)
+    for i, d, _, p, t, _, _ in rows:
+        docs[d].append((i, lines.normal_line(t)))
+    at = collections.defaultdict(list)
+    for d, own in docs.items():
+        for a in range(len(own)):
+            for k in range(1, len(own) - a + 1):
+                at[tuple(x for _, x in own[a : a + k])].append((d, own[a][0]))
+    n = {b: len({d for d, _ in v}) for b, v in at.items() if len({d for d, _ in v}) >= 3}
+    longer = collections.defaultdict(int)
+    for b, c in n.items():
+        longer[b[:-1]] = max(longer[b[:-1]], c)
+    want = sorted(("s", len(b), c, min(i for _, i in at[b])) for b, c in n.items() if longer[b] < c)
+    got = sorted(tuple(r) for r in lines.maximal_blocks(df, 3).select("source", "lines", "docs", "first_id").collect())
+    assert max(w[1] for w in want) == 19 and got == want
+
+
 # --- p4
 
 

@@ -6,8 +6,11 @@ together by range partitioning (sample sort), which is the suffix array; adjacen
 LCP intervals, and an interval of depth k is a repeated block of k lines. The number of documents of an interval is the
 number of its suffixes less one for each neighbouring pair of suffixes of the same document that share the block, so it
 adds up over partitions and no source or line is ever gathered in one task. Blocks in at least ``min_docs`` documents
-are deleted; every line of a longer block is a block of depth 1 itself, so ``DEPTH`` limits only how long a reported
-block can be.
+are deleted; every line of a longer block is a block of depth 1 itself.
+
+Blocks of more lines are found level by level: where a block of ``DEPTH`` lines is repeated, the next ``DEPTH`` lines are
+suffixes of their own, sorted under a 64-bit key of all lines before them, as long as any block still is repeated. Rows
+keep their size, and a block's length has no limit.
 
 Defined cases: rows with a null line, source, id or document are no lines; a row delivered again under its id counts
 once (the last import); blank lines are lines like others; ties in position are ordered by id; an empty table gives
@@ -24,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -58,15 +61,21 @@ def source_lines(df: DataFrame) -> DataFrame:
     return rows.groupBy("sentence_id").agg(F.max(last).alias("r")).select("sentence_id", "r.source", "r.docid", "r.position", "r.line")
 
 
-def suffixes(lines: DataFrame) -> DataFrame:
-    """sentence_id, src (64-bit source), suffix (array<bigint>), fresh: the least depth at which no earlier suffix of the document has the same prefix."""
-    w = Window.partitionBy("source", "docid")
-    ahead = F.collect_list("line").over(w.orderBy(F.col("position").asc_nulls_last(), "sentence_id").rowsBetween(0, DEPTH - 1))
-    s = lines.withColumn("suffix", ahead).withColumn("src", F.xxhash64("source"))
-    before = F.lag("suffix").over(w.orderBy("suffix", "sentence_id"))
-    s = s.withColumn("before", before)
+def suffixes(lines: DataFrame, *more: str) -> DataFrame:
+    """sentence_id, source, src (64-bit source), suffix (array<bigint>), fresh, and ``more``: docid, at (the line's number in its document)."""
+    order = Window.partitionBy("source", "docid").orderBy(F.col("position").asc_nulls_last(), "sentence_id")
+    s = lines.withColumn("suffix", F.collect_list("line").over(order.rowsBetween(0, DEPTH - 1))).withColumn("src", F.xxhash64("source"))
+    if "at" in more:
+        s = s.withColumn("at", F.row_number().over(order))
+    return _fresh(s).select("sentence_id", "source", "src", "suffix", "fresh", *more)
+
+
+def _fresh(s: DataFrame) -> DataFrame:
+    """fresh: the least depth at which no earlier suffix of the document has the same prefix under the same ``src``."""
+    before = F.lag(F.struct("src", "suffix")).over(Window.partitionBy("source", "docid").orderBy("src", "suffix", "sentence_id"))
+    s = s.withColumn("__b", before).withColumn("before", F.when(F.col("__b.src") == F.col("src"), F.col("__b.suffix"))).drop("__b")
     same = sum((F.when(_prefix_equal(k), 1).otherwise(0) for k in range(1, DEPTH + 1)), F.lit(0))
-    return s.select("sentence_id", "source", "src", "suffix", (same + 1).cast("tinyint").alias("fresh"))
+    return s.withColumn("fresh", (same + 1).cast("tinyint")).drop("before")
 
 
 def _prefix_equal(k: int):
@@ -157,15 +166,36 @@ def found_lines(df: DataFrame, min_docs: int = 6) -> DataFrame:
     return sfx.select("sentence_id", "src", F.col("suffix")[0].alias("line")).join(one, ["src", "line"], "left_semi").select("sentence_id")
 
 
+def _key(depth: Column | str, block: str) -> Column:
+    """64-bit key of all lines of a block: of its level's ``src`` and the first ``depth`` lines of the level."""
+    return F.xxhash64("src", F.slice(block, 1, depth))
+
+
+def block_levels(df: DataFrame, min_docs: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Places (key, sentence_id, source) and blocks (key, parent: key without the last line, lines, docs) of every repeated block, whatever its length."""
+    whole = sfx = materialize(suffixes(source_lines(df), "docid", "at"), "suffixes")
+    level, places, every = 0, None, None
+    while True:
+        blocks = materialize(repeated_blocks(sfx, min_docs), "blocks")
+        if level and blocks.isEmpty():
+            return places, every
+        parent = F.when(F.col("depth") > 1, _key(F.col("depth") - 1, "block")).when(F.lit(level > 0), F.col("src"))
+        own = blocks.select(_key(F.col("depth"), "block").alias("key"), parent.alias("parent"), (F.col("depth") + level * DEPTH).alias("lines"), "docs")
+        starts = sfx.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("suffix")))).select(_key(F.col("depth"), "suffix").alias("key"), "sentence_id", "source")
+        places, every = (starts, own) if places is None else (places.unionByName(starts), every.unionByName(own))
+        full = blocks.where(F.col("depth") == DEPTH).select("src", F.col("block").alias("suffix"))
+        alive = sfx.join(full, ["src", "suffix"], "left_semi").withColumn("src", _key(F.lit(DEPTH), "suffix")).drop("suffix", "fresh")
+        level += 1
+        ahead = whole.select("source", "docid", (F.col("at") - level * DEPTH).alias("at"), "suffix").where("at > 0")
+        sfx = materialize(_fresh(alive.join(ahead, ["source", "docid", "at"])).select("sentence_id", "source", "src", "suffix", "fresh", "docid", "at"), "suffixes")
+
+
 def maximal_blocks(df: DataFrame, min_docs: int = 6) -> DataFrame:
     """source, lines (number), docs, first_id: blocks that no repeated longer block extends to the right in as many documents; ``first_id``: the least id at which the block begins."""
-    sfx, blocks = repeated_lines(df, min_docs)
-    longer = blocks.select("src", (F.col("depth") - 1).alias("depth"), F.slice("block", 1, F.col("depth") - 1).alias("block"), F.col("docs").alias("more")).where("depth > 0")
-    best = longer.groupBy("src", "depth", "block").agg(F.max("more").alias("more"))
-    right = blocks.join(best, ["src", "depth", "block"], "left").where("more is null or more < docs")
-    starts = sfx.select("sentence_id", "source", "src", "suffix").withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("suffix")))).withColumn("block", F.slice("suffix", 1, F.col("depth")))
-    at = starts.join(right.drop("more"), ["src", "depth", "block"]).groupBy("source", "depth", "block", "docs").agg(F.min("sentence_id").alias("first_id"))
-    return at.select("source", F.col("depth").alias("lines"), "docs", "first_id")
+    places, blocks = block_levels(df, min_docs)
+    best = blocks.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.max("docs").alias("more"))
+    right = blocks.join(best, "key", "left").where("more is null or more < docs")
+    return places.join(right.select("key", "lines", "docs"), "key").groupBy("source", "key", "lines", "docs").agg(F.min("sentence_id").alias("first_id")).select("source", "lines", "docs", "first_id")
 
 
 def cleaned_articles(df: DataFrame, min_docs: int = 6) -> DataFrame:
