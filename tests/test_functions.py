@@ -1,6 +1,7 @@
 """Golden values of tokenisers and markup, readers on small files, sessions, streams and stores."""
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -193,6 +194,34 @@ def test_tightening(spark):
     assert {g["s"] for g in got} == {x[1] for x in rows if x[2] >= 20220101 + k and x[3] <= max(1, 5 - k)}
 
 
+def test_tightening_by_entities(spark):
+    rng = random.Random(3)
+    rows = [("gap", f"s{i}", rng.choice([20220101, 20220104, 20220109]), rng.randrange(1, 4), rng.randrange(6), 20220101, 3, 0) for i in range(300)]
+    rows += [("last", f"s{i}", 20220110, 1, rng.randrange(4), 20220108, 2, 1) for i in range(150)]
+    rows += [("same", f"s{i}", 20220110, 1, 2, 20220110, 1, 0) for i in range(70)] + [("few", f"s{i}", 20220105, 2, 0, 20220101, 9, 0) for i in range(5)]
+    rows += [("r", f"s{i}", 20220101 + rng.randrange(9), rng.randrange(1, 9), rng.randrange(3), 20220101, 8, 0) for i in range(600)]
+    today, want = 20220110, set()
+    for r in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == r]
+        since, upto, least = own[0][5:]
+        before = []
+        while True:
+            now = [x for x in own if x[2] >= since and x[3] <= upto and x[4] >= least]
+            if not now:
+                now = before
+                break
+            if len(now) <= 50:
+                break
+            least += len(now) == len(before)
+            before = now
+            since += since < today
+            upto -= upto > 1
+        want |= {x[:2] for x in now}
+    df = spark.createDataFrame(rows, "r string, s string, d int, p int, e int, since int, upto int, least int")
+    got = [(g["r"], g["s"]) for g in dialog.tightened(df, "r", "d", "p", length="e", today=today).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_sessions(spark):
     rows = [("s", 1, "x"), ("s", 2, "y"), ("s", 3, "x"), ("s", 3, "y"), ("s", 4, "x")]
     df = spark.createDataFrame(rows, "c string, t int, e string")

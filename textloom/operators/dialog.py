@@ -5,9 +5,12 @@ A decision is an ordered ``when``: the first condition that holds names the rout
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.runtime import materialize
+
 
 def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -56,21 +59,48 @@ def extended(two: DataFrame, one: DataFrame, subjects: DataFrame) -> DataFrame:
     return j.select("subj", F.coalesce("far", "near").alias("obj"), F.when(F.col("far").isNotNull(), "two").when(F.col("near").isNotNull(), "one").otherwise("none").alias("status"))
 
 
-def tightened(hits: DataFrame, request: str, date: str, position: str, most: int = 50) -> DataFrame:
+def tightened(hits: DataFrame, request: str, date: str, position: str, most: int = 50, length: str | None = None, today: int | None = None) -> DataFrame:
     """The hits of each request after its bounds were tightened step by step until at most ``most`` are left (PF2).
 
-    Each step raises the least date by one and lowers the last position by one. A hit falls out at the first step that
-    excludes it, so one count per step tells where to stop: the first step with at most ``most`` hits, or the one before
-    if that has none. ``hits`` carries since and upto, the request's first bounds.
+    Each step raises the least date by one, up to ``today``, and lowers the last position by one, down to 1; a step that
+    left as many hits as the one before raises the least ``length`` (entity_len) by one first. If none are left, the hits
+    of the step before stand. ``hits`` carries since and upto, and with ``length`` also least: the request's first bounds.
+    The steps are taken on the numbers of hits of each (date, position, length); without ``length`` only two bounds move.
+
+    Starting again without the last entity when there are no hits needs no step: fewer entities can't have more hits.
     """
-    out_at = F.least(F.col(date) - F.col("since") + 1, F.when(F.col(position) > 1, F.col("upto") - F.col(position) + 1).otherwise(F.lit(2**31 - 1))).cast("bigint")
-    h = hits.withColumn("out_at", out_at)
-    steps = h.groupBy(request, "out_at").agg(F.count("*").alias("n"))
-    down = Window.partitionBy(request).orderBy(F.desc("out_at")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("left", F.sum("n").over(down)).withColumn("total", F.sum("n").over(Window.partitionBy(request)))
-    best = steps.groupBy(request).agg(F.max("total").alias("total"), F.min(F.when(F.col("left") <= most, F.col("out_at"))).alias("stop"), F.max("out_at").alias("last"))
-    cut = F.when(F.col("total") <= most, F.lit(0)).otherwise(F.coalesce("stop", "last"))
-    return h.join(best.select(request, cut.alias("cut")), request).where(F.col("out_at") >= F.col("cut")).drop("out_at", "cut")
+    columns = [F.col("since").cast("long").alias("since"), F.col("upto").cast("long").alias("upto"), (F.col("least") if length else F.lit(0)).cast("long").alias("least")]
+    places = [F.col(date).cast("long").alias("d"), F.col(position).cast("long").alias("p"), (F.coalesce(F.col(length), F.lit(0)) if length else F.lit(0)).cast("long").alias("e")]
+    counts = hits.select(F.col(request), *columns, *places).groupBy(request, "since", "upto", "least", "d", "p", "e").agg(F.count("*").alias("n"))
+    kind = counts.schema[request].dataType.simpleString()
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        d, p, e, n = (rows[c].to_numpy() for c in ("d", "p", "e", "n"))
+        now = tuple(int(rows[c].iloc[0]) for c in ("since", "upto", "least"))
+        before, left_before = now, 0
+        while True:
+            in_ = (d >= now[0]) & (p <= now[1]) & (e >= now[2])
+            d, p, e, n = d[in_], p[in_], e[in_], n[in_]
+            left = int(n.sum())
+            if left <= most:
+                now = before if left == 0 else now
+                break
+            since, upto, least = now
+            if length and left == left_before:
+                least += 1
+            if today is None or since < today:
+                since += 1
+            upto -= upto > 1
+            if (since, upto, least) == now and left == left_before:  # nothing can move
+                break
+            before, left_before, now = now, left, (since, upto, least)
+        return pd.DataFrame({request: [rows[request].iloc[0]], "__d": [now[0]], "__p": [now[1]], "__e": [now[2]]})
+
+    ends = materialize(counts.groupBy(request).applyInPandas(fold, f"`{request}` {kind}, __d long, __p long, __e long"), "ends")
+    kept = (F.col(date) >= F.col("__d")) & (F.col(position) <= F.col("__p"))
+    if length:
+        kept = kept & (F.coalesce(F.col(length), F.lit(0)) >= F.col("__e"))
+    return hits.join(ends, request).where(kept).drop("__d", "__p", "__e")
 
 
 def picked(ranked: DataFrame, seen: DataFrame, group: str, item: str, rank: str, k: int, seed: int = 7) -> DataFrame:

@@ -13,7 +13,7 @@ from textloom.plans import session_queries as SQ
 from textloom.plans.base import C_SQL, S_SQL, TERM_SQL, TOK_SQL, Registry, sentences, tokens
 from textloom.plans.linking_queries import _T as TRIPLES_SQL
 from textloom.plans.linking_queries import _popular, triples
-from textloom.runtime import table
+from textloom.runtime import materialize, table
 
 R = Registry()
 
@@ -184,17 +184,19 @@ def dl08_extension(spark, d):
 
 @R.add()
 def pf02_tightened_search(spark, d):
-    """Hits of the stated query set of requests (ids divisible by 20) with entities, bounds tightened until at most 50 are left."""
+    """Hits of the stated query set of requests (ids divisible by 20), with and without entities, bounds tightened until at most 50 are left."""
     from textloom.operators.index import match_constraints
     from textloom.plans.base import constraints
     from textloom.plans.index_queries import QUERY_STEP, TODAY
 
-    c = constraints(spark, d).where(F.col("constraint_id") % QUERY_STEP == 0)
-    s = sentences(spark, d)
+    # both are read by several joins and twice in all: written once, so their sizes are known too
+    c = materialize(constraints(spark, d).where(F.col("constraint_id") % QUERY_STEP == 0), "requests")
+    s = materialize(sentences(spark, d).select("_id", "source", "category", "entity_set", "topic_category", "news_date", "entity_len", "sentence_length", "sentence_position"), "rows")
     since = F.coalesce(F.date_format(F.date_sub(F.to_date(F.lit(str(TODAY)), "yyyyMMdd"), F.col("days_ago")), "yyyyMMdd").cast("int"), F.lit(20210101))
-    bounds = c.select("constraint_id", since.alias("since"), F.coalesce("sentence_position", F.lit(60)).alias("upto"))
-    h = match_constraints(c, s, TODAY).join(s.select("_id", "news_date", "sentence_position"), "_id").join(bounds, "constraint_id")
-    return D.tightened(h.where("news_date is not null and sentence_position is not null"), "constraint_id", "news_date", "sentence_position").select("constraint_id", "_id")
+    bounds = c.select("constraint_id", since.alias("since"), F.coalesce("sentence_position", F.lit(60)).alias("upto"), F.coalesce("entity_number", F.lit(0)).alias("least"))
+    h = match_constraints(c, s, TODAY, ("news_date", "sentence_position", "entity_len")).join(bounds, "constraint_id")
+    h = h.where("news_date is not null and sentence_position is not null")
+    return D.tightened(h, "constraint_id", "news_date", "sentence_position", length="entity_len", today=TODAY).select("constraint_id", "_id")
 
 
 @R.add()
