@@ -1,15 +1,17 @@
 """Variant spellings of persons' and organisations' names, linked to one entity.
 
-A name is folded (NFKC, case, diacritics, traditional characters), read as a person (given name and house) or a body
-(house and what kind of body), and known short forms are spelled out. Houses are what people misspell most: the distinct
-house spellings become weighted character n-gram vectors; a sparse cosine join finds all pairs above ``COSINE`` (prefix
-filter: rare n-grams first, until what is left can't reach the bound, so it finds every pair and needs no top-n cap);
-pairs within one or two typing errors are linked, and components are grouped by average linkage. Given names are read
-with the nickname table and the given names the names themselves show. An initial stands for a given name only if the
-house has just one it fits. Names agree if house and given name, or house and body, agree.
-
-Defined cases: null keys, null and blank names, and names that are neither (a title of many words) link to nothing; a
-key's repeated rows count once; equal names under different keys link; an empty table gives no rows.
+1. A name becomes a key: folded (NFKC, case, diacritics, traditional characters), titles and empty words left out, known
+   short forms and nicknames spelled out, its words as an unordered set. Han names lose their separators.
+2. Distinct keys become weighted character n-gram vectors over the whole name. A sparse cosine join finds all pairs above
+   ``COSINE`` (prefix filter: rare n-grams first, until what is left can't reach the bound; n-grams of many keys are met in
+   blocks), so it needs no top-n cap. A pair counts as a link if its words can be matched with one typing error each.
+3. Links are grouped by average linkage of all typed records (a key weighs as often as it was typed; pairs without a link
+   count 0), so the spelling most people typed holds its misspellings together and two houses two letters apart stay apart.
+4. Names with an initial are keys of their own kind: they are held against the initials of the groups' spellings in the same
+   way, and belong to a group if it is the only one they fit. Those that fit several groups mean none for certain.
+
+Defined cases: null keys and null and blank names link to nothing; a key's repeated rows count once; equal names under
+different keys link, whatever they are, but for an initial that fits several groups; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +23,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.groups import block_pairs, components
 from textloom.runtime import materialize
 
-COSINE = 0.3
+COSINE = 0.5
 LINKAGE = 0.2
 #: Largest component linked in one task; larger ones are linked in rounds over all tasks, with the same result.
-COMPONENT = 1_500
-#: Given names and kinds of bodies learned from the names: so many at most are sent to all tasks.
-LEXICON = 20_000
+COMPONENT = 300
+#: The nickname table is sent to all tasks; a larger one is refused.
+NICKNAMES = 100_000
 
 # Traditional characters of transliterated names, and the simplified ones in the same order.
 _TRADITIONAL = "亞傑凱喬烏貝瑪納薩馬達聲學鐘錶紡織電廠樂絲維頓奧蓮內倫爾瑟蘭萊羅盧魯韋衛謝歐畢賓賽費詹諾賴鄧鮑麗龍龐錫戴莊華賈農葉楊陳張許趙盧邁邊遜關韓顏馮魏鄭齊區國語書場門東長開車製產業會團體銀無機資訊遠際興義協聯醫藥藝術歷來親單圖夢寶島師幣廣慶應憲戰於時氣漢漁潔燈獎瓊"
@@ -42,11 +44,10 @@ _SIMPLE = str.maketrans(_TRADITIONAL, _SIMPLIFIED)
 _TITLES = frozenset("dr prof professor sir dame lord lady mr mrs ms miss rev hon jr sr".split())
 _NOTES = regex.compile(r"\((?:actor|actress|musician|singer|athlete|organi[sz]ation|company|person|politician|writer|footballer|disambiguation)\)")
 _EMPTY = frozenset("the of and & limited ltd inc".split())
-# Short forms in names of bodies.
+# Short forms in names of bodies, and the words that tell a body.
 _FORMS = {"co": "company", "corp": "company", "inst": "institute", "univ": "university", "u": "university", "fc": "club", "st": "studio", "films": "film", "studios": "studio", "football": "club"}
 _BODIES = frozenset("company institute university club studio sons".split())
-_HAN_FORMS = (("有限公司", "公司"), ("公司", "公司"), ("研究所", "所"), ("研究院", "所"), ("所", "所"), ("大学", "大学"), ("大", "大学"), ("足球俱乐部", "俱乐部"), ("俱乐部", "俱乐部"), ("电影制片厂", "制片厂"), ("制片厂", "制片厂"))
-_HAN_FIELDS = ("声学", "光学", "纺织", "陶瓷", "地震", "钟表", "化学", "物理", "机械", "电子", "医药", "农业")
+_HAN_FORMS = (("有限公司", "有限公司"), ("公司", "有限公司"), ("研究院", "研究所"), ("研究所", "研究所"), ("所", "研究所"), ("大学", "大学"), ("大", "大学"), ("足球俱乐部", "足球俱乐部"), ("俱乐部", "足球俱乐部"), ("电影制片厂", "电影制片厂"), ("制片厂", "电影制片厂"))
 
 _SPACE = regex.compile(r"[\s_]+")
 _HAN = regex.compile(r"\p{Han}")
@@ -80,81 +81,74 @@ def typing_errors(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-def spelling_errors(a: str, b: str, most: int) -> int:
-    """Typing errors between two spellings of one word, ``most`` + 1 if more; in Han characters only other characters in the same places count as such, and words of fewer than four letters (three characters) must be equal."""
+def name_errors(a: str, b: str) -> int:
+    """Typing errors between two keys; 9 if some word has more than one.
+
+    Words are matched one to one, those of fewer than four letters must be equal. Keys in Han characters (four at least)
+    may differ in one character.
+    """
     if a == b:
         return 0
     if _HAN.search(a) or _HAN.search(b):
-        wrong = sum(x != y for x, y in zip(a, b)) if len(a) == len(b) >= 3 else most + 1
-        return wrong if wrong <= min(most, 1) else most + 1
-    return typing_errors(a, b, most) if min(len(a), len(b)) >= 4 else most + 1
-
-
-def _latin(t: str) -> tuple[str | None, ...]:
-    """(kind, first, second): person ('p', given, house) in the order read, initial ('i', initial, house), body ('b', kind, house)."""
-    t = _NOTES.sub(" ", t)
-    t = regex.sub(r"\bf\.\s?c\.?(?!\w)", "fc", t)
-    inner = regex.search(r"\(([^()]*)\)", t)
-    comma = [p for p in t.split(",") if p.strip()]
-    words = [w for w in _TOKEN.findall(t) if w not in _TITLES]
+        wrong = sum(x != y for x, y in zip(a, b)) if len(a) == len(b) >= 4 else 9
+        return wrong if wrong <= 1 else 9
+    x, y = a.split(" "), b.split(" ")
+    if len(x) != len(y):
+        return 9
+    only = [w for w in x if w not in y]
+    left = [w for w in y if w not in x]
+    errors = 0
+    for w in only:
+        near = [v for v in left if min(len(w), len(v)) >= 4 and typing_errors(w, v, 1) <= 1]
+        if not near:
+            return 9
+        left.remove(near[0])
+        errors += 1
+    return errors
+
+
+def _words(t: str, nick: dict[str, str]) -> tuple[str, str]:
+    t = regex.sub(r"\bf\.\s?c\.?(?!\w)", "fc", _NOTES.sub(" ", t))
+    words = [w for w in _TOKEN.findall(t) if w not in _TITLES] or _TOKEN.findall(t)
     forms = [_FORMS.get(w, w) if w != "u" or "of" in words else w for w in words]  # alone it is an initial
-    if any(w in _BODIES for w in forms) and len(words) > 1 and (len(forms) > 2 or any(len(w) > 2 for w in words[1:]) or "fc" in words):
-        if inner:
-            house = _TOKEN.findall(inner.group(1))
-        elif len(comma) == 2:
-            house = _TOKEN.findall(comma[1])
-        else:
-            house = [w for w in words if w != "the"][:1]
-        rest = sorted({f for w, f in zip(words, forms) if w not in house and f not in _EMPTY})
-        if len(house) == 1 and rest:
-            if "sons" in rest:
-                rest = [w for w in rest if w != "company"]
-            return "b", " ".join(rest), house[0]
-        return None, None, None
-    full = [w for w in words if len(w) > 1]
+    body = len(words) > 1 and any(w in _BODIES for w in forms) and any(len(w) > 1 for w in words if w not in _FORMS)
+    if body:
+        kept = {w for w in forms if w not in _EMPTY}
+        return "b", " ".join(sorted(kept or set(forms)))
+    full = [nick.get(w, w) for w in words if len(w) > 1]
     short = [w for w in words if len(w) == 1]
-    if len(full) == 1 and len(short) >= 1:
-        return "i", short[0], full[0]
-    if len(full) == 2 and len(short) <= 2:
-        return ("p", full[1], full[0]) if len(comma) == 2 else ("q", full[0], full[1])
-    return None, None, None
+    if len(full) == 1 and short:
+        return "i", f"{short[0]} {full[0]}"
+    return "p", " ".join(sorted(full or short))
 
 
-def _han(t: str) -> tuple[str | None, ...]:
-    t = _NOTES.sub(" ", t).strip()
-    inner = regex.fullmatch(r"(\p{Han}+)\s*\((\p{Han}+)\)", t)
-    joined = "".join(_HAN.findall(t)) if inner is None else inner.group(1) + inner.group(2)
+def _han(t: str) -> tuple[str, str]:
+    t = _NOTES.sub(" ", t)
+    turned = regex.fullmatch(r"\s*(\p{Han}+)\s*[,、]\s*(\p{Han}+)\s*", t)
+    key = turned.group(2) + turned.group(1) if turned else "".join(c for c in t if c.isalnum())
     for form, means in _HAN_FORMS:
-        if joined.endswith(form) and len(joined) > len(form) + 1:
-            rest = joined[: -len(form)]
-            field = next((f for f in _HAN_FIELDS if rest.endswith(f)), "")
-            if form in ("所", "大", "公司") and not field:
-                continue
-            house = rest[: len(rest) - len(field)]
-            if inner is not None:
-                house = inner.group(1)
-            return ("b", f"{field}{means}", house) if len(house) > 1 else (None, None, None)
-    parts = regex.findall(r"\p{Han}+", t)
-    if len(parts) == 2:
-        return ("p", parts[1], parts[0]) if regex.search(r"\p{Han}\s*[,、]\s*\p{Han}", t) else ("p", *parts)
-    if len(parts) == 1 and 4 <= len(parts[0]) <= 9:
-        return "u", parts[0], None
-    return None, None, None
-
-
-def read_name(name: str) -> tuple[str | None, ...]:
-    """(kind, first, second): 'p' person (given, house), 'q' the same in unsure order, 'i' (initial, house), 'b' (body, house), 'u' person in one piece; Nones for no name."""
+        if key.endswith(form) and len(key) > len(form) + 1:
+            return "b", key[: -len(form)] + means
+    return "p", key
+
+
+def name_key(name: str, nick: dict[str, str]) -> tuple[str | None, str | None]:
+    """(kind, key) of a name: 'b' body, 'i' initial and one word, 'p' any other; Nones for a blank name."""
     t = fold(name).replace("，", ",").replace("（", "(").replace("）", ")")
     if not t:
-        return None, None, None
-    return _han(t) if _HAN.search(t) else _latin(t)
+        return None, None
+    kind, key = _han(t) if _HAN.search(t) else _words(t, nick)
+    return (kind, key) if key else ("p", t)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [read_name(n) for n in b.column(1).to_pylist()]
-        cols = [pa.array(c, pa.string()) for c in zip(*got)] if got else [pa.array([], pa.string())] * 3
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["key", "kind", "x", "y"])
+def _keys(nick: dict[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [name_key(n, nick) for n in b.column(1).to_pylist()]
+            cols = [pa.array(c, pa.string()) for c in zip(*got)] if got else [pa.array([], pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["key", "kind", "word"])
+
+    return run
 
 
 def typed_names(kg: DataFrame, pages: DataFrame) -> DataFrame:
@@ -165,92 +159,24 @@ def typed_names(kg: DataFrame, pages: DataFrame) -> DataFrame:
     return a.unionByName(b).where("key is not null and name is not null").distinct()
 
 
-class _Given:
-    """Given names: canonical form by spelling, nickname or near spelling."""
-
-    def __init__(self, known: dict[str, str]) -> None:
-        self.known = known
-        self.by_size: dict[int, list[str]] = {}
-        for k in known:
-            self.by_size.setdefault(len(k), []).append(k)
-        self.found: dict[str, tuple[str, int]] = {}
-
-    def near(self, word: str) -> tuple[str, int]:
-        """The canonical name and the number of typing errors; 9 if it is none."""
-        got = self.found.get(word)
-        if got is None:
-            got = (self.known[word], 0) if word in self.known else (word, 9)
-            most = 1 if len(word) >= 4 or _HAN.search(word) and len(word) >= 2 else 0
-            if got[1] and most:
-                hits = {self.known[k] for n in range(len(word) - most, len(word) + most + 1) for k in self.by_size.get(n, ()) if (len(k) >= 4 or _HAN.search(k) and len(k) == len(word)) and typing_errors(word, k, most) <= most}
-                if len(hits) == 1:
-                    got = (hits.pop(), 1)
-            if len(self.found) < 500_000:  # a cache
-                self.found[word] = got
-        return got
-
-    def split(self, whole: str) -> tuple[str, str] | None:
-        """A name in one piece as given name and house."""
-        best = None
-        for n in (4, 3, 2):
-            if len(whole) - n >= 2:
-                name, errors = self.near(whole[:n])
-                if errors < 9 and (best is None or errors < best[0]):
-                    best = (errors, name, whole[n:])
-        return best[1:] if best else None
-
-
-def _assign(known: dict[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = _Given(known)
-        for b in batches:
-            out = []
-            for key, kind, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == "q":  # which of the two is the given name?
-                    (gx, ex), (gy, ey) = given.near(x), given.near(y)
-                    out.append((key, "p", gy, x) if ey < ex else (key, "p", gx, y))
-                elif kind == "p":
-                    out.append((key, "p", given.near(x)[0], y))
-                elif kind == "u":
-                    parts = given.split(x)
-                    if parts:
-                        out.append((key, "p", *parts))
-                else:
-                    out.append((key, kind, x, y))
-            cols = [pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 4
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "part", "house"])
-
-    return run
-
-
-def given_names(read: DataFrame, nicknames: DataFrame) -> dict[str, str]:
-    """Canonical given name by folded spelling: the nickname table, and what stands as a given name before several houses (at most ``LEXICON``)."""
-    rows = [(fold(r["given"]), fold(r["nick"] or "")) for r in nicknames.where("given is not null").limit(LEXICON).collect()]
-    sure = read.where("kind = 'p'").groupBy("x").agg(F.countDistinct("y").alias("houses"), F.count("*").alias("n")).where("houses >= 3").orderBy(F.desc("n"), "x").limit(LEXICON)
-    seen = [r["x"] for r in sure.collect()]
-    known: dict[str, str] = {}
-    sheet = _Given(known)
-    for given, nick in rows:
-        known[given] = given
-        if nick:
-            known[nick] = given
-    for k in known:
-        sheet.by_size.setdefault(len(k), []).append(k)
-    for x in seen:  # most frequent first; a rarer near spelling is read as the frequent one
-        if x not in known and sheet.near(x)[1] == 9:
-            known[x] = x
-            sheet.by_size.setdefault(len(x), []).append(x)
-            sheet.found.clear()
-    return known
+def nickname_forms(nicknames: DataFrame) -> dict[str, str]:
+    """Given name by folded nickname; a nickname of several given names stays as it is."""
+    rows = nicknames.where("given is not null and nick is not null").select("given", "nick").distinct().limit(NICKNAMES + 1).collect()
+    if len(rows) > NICKNAMES:
+        raise ValueError(f"more than {NICKNAMES} nicknames")
+    found: dict[str, set[str]] = {}
+    for r in rows:
+        found.setdefault(fold(r["nick"]), set()).add(fold(r["given"]))
+    given = {g for s in found.values() for g in s}
+    return {k: min(v) for k, v in found.items() if len(v) == 1 and k not in given}
 
 
 def grams(word: str) -> list[str]:
-    """Padded trigrams; of words in Han characters single characters and padded pairs."""
+    """Padded trigrams of each word of a key; of keys in Han characters single characters and padded pairs."""
     if _HAN.search(word):
         t = f"^{word}$"
         return list(dict.fromkeys([*word, *(t[i : i + 2] for i in range(len(t) - 1))]))
-    t = f"^^{word}$$"
-    return list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2)))
+    return list(dict.fromkeys(t[i : i + 3] for w in word.split(" ") for t in (f"^^{w}$$",) for i in range(len(t) - 2)))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +185,8 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([g for _, g in rows], pa.string())], names=["word", "gram"])
 
 
-def cosine_pairs(words: DataFrame, least: float = COSINE, keep: Column | None = None) -> DataFrame:
-    """a < b, cosine of all pairs of words (column word, distinct) whose n-gram vectors reach ``least``; ``keep``: a condition on a and b tested first."""
+def cosine_pairs(words: DataFrame, least: float = COSINE) -> DataFrame:
+    """a < b, cosine of all pairs of words (column word, distinct) whose n-gram vectors reach ``least``."""
     n = words.count()
     rows = materialize(words.select("word").mapInArrow(_gram_rows, "word string, gram string"), "grams")
     df = rows.groupBy("gram").agg(F.count("*").alias("df"))
@@ -269,21 +195,19 @@ def cosine_pairs(words: DataFrame, least: float = COSINE, keep: Column | None =
     w = w.withColumn("w", F.col("w") / norm)
     left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("word").orderBy(F.desc("df"), "gram"))
     vectors = materialize(w.withColumn("prefix", left >= least * least).select("word", "gram", "w", "prefix"), "vectors")
-    p = vectors.where("prefix").select("gram", "word")
-    pairs = p.withColumnRenamed("word", "a").join(p.withColumnRenamed("word", "b"), "gram").where("a < b")
-    pairs = (pairs.where(keep) if keep is not None else pairs).select("a", "b").distinct()
+    pairs = block_pairs(vectors.where("prefix").select("gram", "word"), ["gram"], "word").distinct().toDF("a", "b")
     va = vectors.select(F.col("word").alias("a"), "gram", F.col("w").alias("wa"))
     vb = vectors.select(F.col("word").alias("b"), "gram", F.col("w").alias("wb"))
     dots = pairs.join(va, "a").join(vb, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return dots.where(F.col("cosine") >= least)
 
 
-def average_linkage(words: list[str], a: np.ndarray, b: np.ndarray, sim: np.ndarray, least: float) -> np.ndarray:
-    """Cluster numbers: the two clusters of the highest mean similarity are joined while it is at least ``least``; unlinked pairs count 0."""
-    n = len(words)
+def average_linkage(a: np.ndarray, b: np.ndarray, sim: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """Cluster numbers: the two clusters of the highest mean similarity of their records are joined while it is at least ``least``; unlinked pairs count 0."""
+    n = len(weight)
     s = np.zeros((n, n))
     s[a, b] = s[b, a] = sim
-    size = np.ones(n)
+    size = weight.astype(float)
     label = np.arange(n)
     np.fill_diagonal(s, -1.0)
     while n > 1:
@@ -299,43 +223,26 @@ def average_linkage(words: list[str], a: np.ndarray, b: np.ndarray, sim: np.ndar
     return label
 
 
-def leaders(words: list[str], counts: dict[str, int]) -> dict[str, str]:
-    """The leader of each word of one cluster: the most frequent spellings first, each word joins the leader it is one error from, a word typed once also one two errors away; others lead themselves."""
-    found: list[str] = []
-    to: dict[str, str] = {}
-    for w in sorted(words, key=lambda w: (-counts[w], w)):
-        best = min(((spelling_errors(w, x, 2), k, x) for k, x in enumerate(found)), default=(9, 0, w))
-        if best[0] <= 1 or best[0] == 2 and counts[w] == 1 and len(w) >= 9:
-            to[w] = best[2]
-        else:
-            to[w] = w
-            found.append(w)
-    return to
-
-
 def _link_component(rows: pd.DataFrame) -> pd.DataFrame:
     counts = dict(zip(rows["a"], rows["na"])) | dict(zip(rows["b"], rows["nb"]))
     words = sorted(counts)
     at = {w: i for i, w in enumerate(words)}
-    label = average_linkage(words, rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy(), rows["cosine"].to_numpy(), LINKAGE)
-    members: dict[int, list[str]] = {}
-    for w, c in zip(words, label):
-        members.setdefault(int(c), []).append(w)
-    to = {w: x for group in members.values() for w, x in leaders(group, counts).items()}
-    return pd.DataFrame({"word": words, "cluster": [to[w] for w in words]})
+    label = average_linkage(rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy(), rows["cosine"].to_numpy(), np.array([counts[w] for w in words]), LINKAGE)
+    lead = {}
+    for w, c in sorted(zip(words, label), key=lambda x: (-counts[x[0]], x[0])):
+        lead.setdefault(c, w)
+    return pd.DataFrame({"word": words, "cluster": [lead[c] for c in label]})
 
 
-def word_clusters(words: DataFrame) -> DataFrame:
-    """word, cluster (its most frequent spelling) of all words that have near spellings; words without any are left out. ``words``: word, n (how often), distinct."""
-    near = F.levenshtein("a", "b", 4) >= 0  # two swaps at most; the exact number of errors is tested below
-    pairs = cosine_pairs(words, keep=near)
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = [name_errors(x, y) < 9 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.filter(pa.array(ok, pa.bool_()))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [spelling_errors(x, y, 2) <= 2 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield b.filter(pa.array(ok, pa.bool_()))
 
-    links = pairs.mapInArrow(check, "a string, b string, cosine double")
+def word_clusters(words: DataFrame) -> DataFrame:
+    """word, cluster (its most frequent spelling) of all keys that have near spellings; keys without any are left out. ``words``: word, n (how often), distinct."""
+    links = cosine_pairs(words).mapInArrow(_check, "a string, b string, cosine double")
     links = links.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     links = materialize(links.select("a", "b", "cosine", "na", "nb"), "links")
     label = components(links)
@@ -347,17 +254,18 @@ def word_clusters(words: DataFrame) -> DataFrame:
 
 
 def linkage_rounds(links: DataFrame, least: float) -> DataFrame:
-    """word, label: average linkage as ``average_linkage`` does it, for components of any size. ``links``: a, b, cosine.
+    """word, n, label: average linkage as ``average_linkage`` does it, for components of any size. ``links``: a, b, cosine, na, nb.
 
     Only the sums of linked cluster pairs are kept. In each round all pairs of clusters that are each other's nearest are
     joined; as a mean with a third cluster never exceeds the higher of the two before, this gives the clusters of joining
     the nearest pair of all one after the other. Sums are whole numbers, so their order doesn't matter; ties are broken by name.
     """
-    s = links.select("a", "b", F.round(F.col("cosine") * 1e12).cast("decimal(38,0)").alias("s"))
+    s = links.select("a", "b", (F.round(F.col("cosine") * 1e12).cast("decimal(18,0)") * F.col("na") * F.col("nb")).cast("decimal(38,0)").alias("s"))
     sums = materialize(s.select(F.col("a").alias("x"), F.col("b").alias("y"), "s").unionByName(s.select(F.col("b").alias("x"), F.col("a").alias("y"), "s")), "sums")
-    label = materialize(sums.select(F.col("x").alias("word")).distinct().withColumn("label", F.col("word")), "labels")
+    nodes = links.select(F.col("a").alias("word"), F.col("na").alias("n")).unionByName(links.select(F.col("b").alias("word"), F.col("nb").alias("n"))).distinct()
+    label = materialize(nodes.withColumn("label", F.col("word")), "labels")
     while True:
-        size = label.groupBy("label").agg(F.count("*").alias("n"))
+        size = label.groupBy("label").agg(F.sum("n").alias("n"))
         both = sums.join(size.select(F.col("label").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("label").alias("y"), F.col("n").alias("ny")), "y")
         mean = both.select("x", "y", (F.col("s").cast("double") / 1e12 / (F.col("nx") * F.col("ny"))).alias("m")).where(F.col("m") >= least)
         # one order of all pairs, the same from both sides: the first of all is always joined
@@ -366,7 +274,7 @@ def linkage_rounds(links: DataFrame, least: float) -> DataFrame:
         joined = materialize(best.groupBy("p", "q").count().where("count = 2").select(F.col("q").alias("old"), F.col("p").alias("new")), "joined")
         if joined.isEmpty():
             return label
-        label = materialize(label.join(joined, F.col("label") == F.col("old"), "left").select("word", F.coalesce("new", "label").alias("label")), "labels")
+        label = materialize(label.join(joined, F.col("label") == F.col("old"), "left").select("word", "n", F.coalesce("new", "label").alias("label")), "labels")
         for c in ("x", "y"):
             sums = sums.join(joined, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
         sums = materialize(sums.where("x <> y").groupBy("x", "y").agg(F.sum("s").cast("decimal(38,0)").alias("s")), "sums")
@@ -374,43 +282,36 @@ def linkage_rounds(links: DataFrame, least: float) -> DataFrame:
 
 def _link_large(links: DataFrame) -> DataFrame:
     """word, cluster of components too large for one task."""
-    counts = links.select(F.col("a").alias("word"), F.col("na").alias("n")).unionByName(links.select(F.col("b").alias("word"), F.col("nb").alias("n"))).distinct()
+    label = linkage_rounds(links, LINKAGE)
+    lead = label.groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("m")).select("label", F.col("m.word").alias("cluster"))
+    return label.join(lead, "label").select("word", "cluster")
 
-    def lead(rows: pd.DataFrame) -> pd.DataFrame:
-        to = leaders(list(rows["word"]), dict(zip(rows["word"], rows["n"])))
-        return pd.DataFrame({"word": list(to), "cluster": list(to.values())})
 
-    return linkage_rounds(links, LINKAGE).join(counts, "word").groupBy("label").applyInPandas(lead, "word string, cluster string")
+def _clustered(keys: DataFrame) -> DataFrame:
+    """``keys`` (with word, n) and the cluster of each word, itself if it has no near spellings."""
+    return keys.join(word_clusters(keys.select("word", "n")), "word", "left").withColumn("cluster", F.coalesce("cluster", "word"))
 
 
 def name_groups(names: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """key, entity of every name that could be read. ``names``: key, name; ``nicknames``: given, nick."""
-    read = materialize(names.select("key", "name").mapInArrow(_read, "key string, kind string, x string, y string").where("kind is not null"), "read")
-    parts = materialize(read.mapInArrow(_assign(given_names(read, nicknames)), "key string, kind string, part string, house string"), "parts")
-    clusters = word_clusters(materialize(parts.groupBy(F.col("house").alias("word")).agg(F.count("*").alias("n")), "houses"))
-    parts = parts.join(clusters.withColumnRenamed("word", "house"), "house", "left").withColumn("house", F.coalesce("cluster", "house")).drop("cluster")
-    bodies = body_kinds(parts)
-    parts = materialize(parts.join(F.broadcast(bodies), (F.col("kind") == "b") & (F.col("part") == F.col("typed")), "left").withColumn("part", F.coalesce("means", "part")).select("key", "kind", "part", "house"), "housed")
-    full = parts.where("kind = 'p'")
-    fits = full.select("house", "part", F.substring("part", 1, 1).alias("initial")).distinct().groupBy("house", "initial").agg(F.count("*").alias("n"), F.min("part").alias("only"))
-    short = parts.where("kind = 'i'").select("key", "house", F.col("part").alias("initial")).join(fits, ["house", "initial"], "left").where("n is null or n = 1")
-    short = short.select("key", F.lit("p").alias("kind"), F.coalesce("only", F.concat("initial", F.lit("."))).alias("part"), "house")
-    every = full.unionByName(parts.where("kind = 'b'")).unionByName(short)
-    return every.select("key", F.concat_ws("|", "kind", "house", "part").alias("entity")).distinct()
-
-
-def body_kinds(parts: DataFrame) -> DataFrame:
-    """typed, means: kinds of bodies with near spellings read as the more frequent one (at most ``LEXICON`` kinds)."""
-    rows = parts.where("kind = 'b'").groupBy("part").count().orderBy(F.desc("count"), "part").limit(LEXICON).collect()
-    common = [r["part"] for r in rows if r["count"] >= 5]
-    means = []
-    for r in rows:
-        word = r["part"]
-        if r["count"] < 5 and not _HAN.search(word):
-            near = [c for c in common if abs(len(c) - len(word)) <= 2 and typing_errors(word, c, 2) <= 2]
-            word = near[0] if near else word
-        means.append((r["part"], word))
-    return parts.sparkSession.createDataFrame(means, "typed string, means string")
+    """key, entity of every name but initials that fit several entities. ``names``: key, name; ``nicknames``: given, nick."""
+    keyed = names.where("key is not null and name is not null").select("key", "name").mapInArrow(_keys(nickname_forms(nicknames)), "key string, kind string, word string").where("kind is not null")
+    keyed = materialize(keyed.distinct(), "keyed")
+    full, short = keyed.where("kind <> 'i'"), keyed.where("kind = 'i'")
+    whole = materialize(_clustered(full.groupBy("word").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))), "full")
+    # two-word spellings of persons as an initial and a word, either word in full
+    two = F.split("word", " ")
+    forms = whole.where((F.col("kind") == "p") & (F.size(two) == 2)).select("cluster", "n", F.explode(F.array(*[F.concat(F.substring(two[i], 1, 1), F.lit(" "), two[1 - i]) for i in (0, 1)])).alias("word"))
+    forms = materialize(forms.groupBy("word", "cluster").agg(F.sum("n").alias("n")), "forms")
+    typed = short.groupBy("word").agg(F.count("*").alias("n"))
+    near = materialize(_clustered(typed.unionByName(forms.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))).select("word", F.col("cluster").alias("spelling")), "short")
+    fits = lambda by, t: t.groupBy(by).agg(F.min("cluster").alias("only"), F.max("cluster").alias("other"))
+    by_word = fits("word", forms).toDF("word", "w0", "w1")
+    by_spelling = fits("spelling", forms.join(near, "word")).toDF("spelling", "s0", "s1")
+    s = near.join(typed.select("word"), "word", "left_semi").join(by_word, "word", "left").join(by_spelling, "spelling", "left")
+    s = s.select("word", F.coalesce("w0", "s0", F.concat(F.lit("."), F.col("spelling"))).alias("e0"), F.coalesce("w1", "s1", F.concat(F.lit("."), F.col("spelling"))).alias("e1"))
+    of_full = full.join(whole.select("word", "cluster"), "word").select("key", F.col("cluster").alias("entity"))
+    of_short = short.join(s.where("e0 = e1"), "word").select("key", F.col("e0").alias("entity"))
+    return of_full.unionByName(of_short).distinct()
 
 
 def name_pairs(names: DataFrame, nicknames: DataFrame) -> DataFrame:
