@@ -55,6 +55,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file, the sign that what it names is complete."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 #: Scratch paths made so far.
 _MADE: list[str] = []
 
