@@ -7,6 +7,7 @@ import itertools
 import math
 import os
 import random
+import re
 import string
 
 import pytest
@@ -285,8 +286,9 @@ def test_new_batches(spark, monkeypatch, hot):
         cut = len(t) // 2
         rows += [(f"{d}_2", d, "s", 2, t[cut:], 1, date), (f"{d}_1", d, "s", 1, t[:cut], 1, date), (f"{d}_1", d, "s", 1, "old " + t[:cut], 0, date)]
     df = spark.createDataFrame(rows + [(None, "d000", "s", 1, "x", 1, 1), ("x", None, "s", 1, "x", 1, 1)], SENTENCE).withColumn("text", F.lit(1))
-    got = [tuple(r) for r in history.repeated_articles(df, 3).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_repeats(arts)
+    for months in (1, 24):
+        got = [tuple(r) for r in history.repeated_articles(df, months).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_repeats(arts)
     assert history.repeated_articles(df.limit(0)).collect() == []
 
 
@@ -320,6 +322,42 @@ def test_index_is_kept(spark, tmp_path):
     got = again.add(spark.createDataFrame([("b", 2, old[:-3] + "xyz"), ("c", 2, old[::-1])], ddl))
     assert [tuple(r) for r in got.collect()] == [("b", "a")]
     assert {r["docid"] for r in again.accepted().collect()} == {"a", "c"}
+    # the same batch once more: what was accepted is passed by, what was refused gives its case again
+    got = again.add(spark.createDataFrame([("a", 1, old), ("b", 2, old[:-3] + "xyz"), ("c", 2, old[::-1])], ddl))
+    assert [tuple(r) for r in got.collect()] == [("b", "a")]
+    # a broken attempt (folders without their marker) counts for nothing
+    spark.createDataFrame([("z", 1, 9, old, 0)], "docid string, news_date int, n int, text string, bucket int").write.partitionBy("bucket").parquet(f"{path}/texts/3-3")
+    again.compact()
+    assert sorted(r["docid"] for r in again.accepted().collect()) == ["a", "c"] and len(again._done()) == 1
+    got = again.add(spark.createDataFrame([("d", 3, old[:-3] + "abc")], ddl))
+    assert [tuple(r) for r in got.collect()] == [("d", "a")]
+
+
+def test_only_needed_buckets_are_read(spark, tmp_path):
+    rng = random.Random(3)
+    arts = [(f"h{i}", 1, "".join(rng.choice(string.ascii_lowercase) for _ in range(200))) for i in range(300)]
+    index = history.ArticleIndex(spark, f"file://{tmp_path}/index")
+    index.add(spark.createDataFrame(arts, "docid string, news_date int, text string"))
+    one = spark.createDataFrame([("h7",)], "docid string")
+    assert len(index.texts_for(one).inputFiles()) == len(index.accepted().inputFiles())  # listed, but
+    plan = index.texts_for(one)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters|ilters: \[[^]]*bucket#\d+ = ", plan)
+    assert index.texts_for(one).count() < 300 and index.texts_for(one).where("docid = 'h7'").count() == 1
+
+
+def test_recall_near_the_bound():
+    """Share of pairs of similarity 0.60 to 0.65 that share a cell."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    found = total = 0
+    while total < 1500:
+        a = word(400)
+        cut = rng.randrange(92, 102)
+        b = a[: 400 - cut] + word(cut)
+        if 0.6 <= history.similarity(a, b) <= 0.65:
+            total += 1
+            found += bool(set(history.cells_of(a)[1].tolist()) & set(history.cells_of(b)[1].tolist()))
+    assert found >= total - 2
 
 
 # --- p7, p8

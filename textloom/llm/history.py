@@ -2,19 +2,24 @@
 
 An article's vector is the set of its distinct runs of 5 characters. The index is an inverted file of cells: a vector
 lies in ``BANDS`` cells, each the joint code of ``ROWS`` of its min-wise components, and the accepted articles' cells and
-full texts are kept in two growing tables. A batch is probed cell by cell, and a vector met there is passed by if its distance
-must be over the bound: by size (|x| < t |y|), or by sketch (one bit of each component; a pair at the threshold differs
-in 24 of 120 bits, with a deviation of 4.4, and ``BITS`` may differ). All others are compared exactly. What is accepted
-is appended; history is never read as a whole again, only joined by cell.
+full texts are kept in two tables that grow by one folder a batch. A batch is probed cell by cell; a vector met there is
+passed by only if its distance must be over the bound by size (|x| < t |y|), all others are compared exactly by their
+full texts. What is accepted is appended.
 
-Cells around centroids with triangle bounds were tried on paper and given up: vectors of unrelated texts all lie at about
-the same distance from any centroid, so no cell could be passed by. Min-wise cells find a pair at the threshold of 0.6
-with probability 1 - (1 - 0.6^3)^40 > 0.9999 and the sketch keeps it with 0.9998; at 0.65 either misses 3 in a million.
+Cells around centroids with triangle bounds can't pass anything by here, as measured (README): vectors of unrelated texts
+all lie at about the same distance from any centroid. Min-wise cells find a pair at the threshold of 0.6 with probability
+1 - (1 - 0.6^4)^66 = 0.9999, one at 0.65 with 0.999998; the tests measure this recall.
+
+What a batch costs: its own cells and texts; of history the cell codes of the buckets its cells fall in, and of texts only
+the buckets that hold a candidate. A batch is written to folders of its own and counts once its marker file is there, so a
+broken attempt leaves nothing behind and can be repeated; articles that are in the index already are passed by.
+``compact`` joins the folders of all batches into one.
 
 Within a batch articles count in order (date, then id): each repeats only what was accepted before it. Equal texts are
 compared once, and every copy gets the matches that stand before that copy. While some cell is larger than
 ``HOT``, only the first of each cell is compared with the rest of it; a first of all its cells is accepted for certain,
-and what repeats it drops out, so crowds of near copies are never paired with one another.
+and what repeats it drops out, so crowds of near copies are never paired with one another. What then still shares a large
+cell without repeating its first is met in blocks.
 
 Defined cases: null ids are no articles; a missing date comes after all dates; texts of fewer than 5 letters and digits
 have no runs and repeat nothing; rows delivered again under one id count once; ties in position are ordered by id; an
@@ -34,17 +39,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.spans import code_points, gram_hashes
-from textloom.runtime import materialize, path_exists, scratch_path
+from textloom.runtime import list_names, materialize, scratch_path, touch
 
 RUN = 5
 SHARE = 0.6
-ROWS, BANDS = 3, 40
-BITS = 40
+ROWS, BANDS = 4, 66
 HOT = 200
+#: Folders the cells and texts of one batch are spread over, so that reads can pass by those they don't need.
+CELL_BUCKETS, TEXT_BUCKETS = 32, 8
+NO_DATE = 2**31 - 1
 
 _STRIP = regex.compile(r"[^\p{L}\p{N}]+")
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_FACTORS = _RANDOM.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = (_RANDOM.integers(1, 2**32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _JOIN = _RANDOM.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -53,20 +60,20 @@ def normal_text(text: str) -> str:
     return _STRIP.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
-def cells_of(text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of distinct runs, the vector's cells, and its sketch of 128 bits (8 of them 0) as two numbers."""
+def cells_of(text: str) -> tuple[int, np.ndarray]:
+    """Number of distinct runs, and the vector's cells."""
     h = np.unique(gram_hashes(code_points(text), RUN)) if len(text) >= RUN else np.zeros(0, np.uint64)
     if not len(h):
-        return 0, np.zeros(0, np.int64), np.zeros(2, np.int64)
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(h), 2048):
-        np.minimum(least, (_FACTORS[:, None] * h[None, a : a + 2048]).min(axis=1), out=least)
-    code = (least.reshape(BANDS, ROWS) >> np.uint64(7)) * _JOIN
-    code = code[:, 0] ^ (code[:, 1] >> np.uint64(1)) ^ (code[:, 2] << np.uint64(1))
-    code = (code ^ (code >> np.uint64(31))) * _JOIN[0] + np.arange(BANDS, dtype=np.uint64)
-    bits = np.zeros(128, np.uint8)
-    bits[: len(least)] = (least >> np.uint64(20)) & np.uint64(1)
-    return len(h), code.view(np.int64), np.packbits(bits).view(np.int64)
+        return 0, np.zeros(0, np.int64)
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, len(low), 2048):
+        np.minimum(least, (_FACTORS[:, None] * low[None, a : a + 2048]).min(axis=1), out=least)
+    code = np.arange(BANDS, dtype=np.uint64)
+    for k, part in enumerate(least.reshape(BANDS, ROWS).T.astype(np.uint64)):
+        code = (code ^ part) * _JOIN[k]
+        code ^= code >> np.uint64(29)
+    return len(h), code.view(np.int64)
 
 
 def similarity(a: str, b: str) -> float:
@@ -87,16 +94,16 @@ def articles(df: DataFrame) -> DataFrame:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["docid", "news_date", "text", "copy", "n", "cells", "s0", "s1"]
+    names = ["docid", "news_date", "text", "copy", "n", "cells"]
     for b in batches:
         for k in range(0, b.num_rows, 1000):
             part = b.slice(k, 1000)
             text = [normal_text(t or "") for t in part.column(2).to_pylist()]
             made = [cells_of(t) for t in text]
             copy = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in text]
-            ends = np.concatenate(([0], np.cumsum([len(c) for _, c, _ in made]))).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c, _ in made])))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text), pa.array(copy, pa.binary()), pa.array([n for n, _, _ in made], pa.int32()), cells, *(pa.array([int(x[i]) for _, _, x in made], pa.int64()) for i in (0, 1))], names=names)
+            ends = np.concatenate(([0], np.cumsum([len(c) for _, c in made]))).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c in made])))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text), pa.array(copy, pa.binary()), pa.array([n for n, _ in made], pa.int32()), cells], names=names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,23 +113,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(keep)
 
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, c: str, texts: DataFrame) -> DataFrame:
+    return texts.join(pairs.select(F.col(c).alias("docid")).distinct(), "docid", "left_semi").select(F.col("docid").alias(c), F.col("text").alias(f"text_{c}"))
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame | ArticleIndex) -> DataFrame:
     """Candidate pairs (a of ``left``, b of ``right``) that repeat each other, compared by full text; written once."""
     pairs = materialize(pairs, "candidates")
-    need = lambda t, c: t.join(pairs.select(F.col(c).alias("docid")).distinct(), "docid", "left_semi").select(F.col("docid").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(need(left, "a"), "a").join(need(right, "b"), "b").select("a", "b", "text_a", "text_b")
+    if isinstance(right, ArticleIndex):
+        right = right.texts_for(pairs.select(F.col("b").alias("docid")))
+    both = pairs.join(_texts_of(pairs, "a", left), "a").join(_texts_of(pairs, "b", right), "b").select("a", "b", "text_a", "text_b")
     return materialize(both.mapInArrow(_verify, "a string, b string"), "pairs")
 
 
 def _near() -> Column:
-    """Whether sizes and sketches of a and b allow a match."""
+    """Whether the sizes of a and b allow a match."""
     n, m = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    apart = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in ("s0", "s1"))
-    return (n >= SHARE * m - 1e-9) & (m >= SHARE * n - 1e-9) & (apart <= BITS)
+    return (n >= SHARE * m - 1e-9) & (m >= SHARE * n - 1e-9)
 
 
 def _side(cells: DataFrame, side: str, *more: str) -> DataFrame:
-    return cells.select("cell", F.col("docid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "s0", "s1", *more)])
+    return cells.select("cell", F.col("docid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *more)])
+
+
+def _bucket(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("bucket")
+
+
+_TEXTS = "docid string, news_date int, n int, text string, bucket int"
+_CELLS = "cell bigint, docid string, n int, bucket int"
 
 
 class ArticleIndex:
@@ -130,32 +149,74 @@ class ArticleIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or scratch_path(spark, "article-index")
-        self.batches = int(path_exists(spark, f"{self.path}/texts"))
 
-    def _kept(self, name: str, ddl: str) -> DataFrame:
-        if not self.batches:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
+    def _done(self) -> list[tuple[int, int]]:
+        """First and last batch of each committed folder, those joined by ``compact`` once."""
+        spans = sorted((tuple(int(x) for x in name.split("-")) for name in list_names(self.spark, f"{self.path}/done")), key=lambda s: (s[0], -s[1]))
+        kept: list[tuple[int, int]] = []
+        for low, high in spans:
+            if not kept or low > kept[-1][1]:
+                kept.append((low, high))
+        return kept
+
+    def _kept(self, name: str, ddl: str, buckets: list[int] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{name}/{low}-{high}" for low, high in self._done()]
+        if not folders or buckets == []:
+            return self.spark.createDataFrame([], ddl).drop("bucket")
+        parts = [self.spark.read.schema(ddl).parquet(f) for f in folders]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return (out.where(F.col("bucket").isin(buckets)) if buckets is not None else out).drop("bucket")
+
+    def _buckets(self, keys: DataFrame, key: str, n: int) -> list[int]:
+        return [r["bucket"] for r in keys.select(_bucket(key, n)).distinct().collect()]  # n at most
 
     def accepted(self) -> DataFrame:
         """docid, news_date, n, text of all accepted articles."""
-        return self._kept("texts", "docid string, news_date int, n int, text string")
+        return self._kept("texts", _TEXTS)
 
-    def cells(self) -> DataFrame:
-        """cell, docid, n, s0, s1 of all accepted articles."""
-        return self._kept("cells", "cell bigint, docid string, n int, s0 bigint, s1 bigint")
+    def texts_for(self, ids: DataFrame) -> DataFrame:
+        """docid, text of the buckets that hold ``ids``."""
+        return self._kept("texts", _TEXTS, self._buckets(ids, "docid", TEXT_BUCKETS)).select("docid", "text")
+
+    def cells_for(self, cells: DataFrame) -> DataFrame:
+        """cell, docid, n of the buckets that hold ``cells``."""
+        return self._kept("cells", _CELLS, self._buckets(cells, "cell", CELL_BUCKETS))
+
+    def _write(self, batches: str, texts: DataFrame, cells: DataFrame) -> None:
+        for name, df, key, n in (("texts", texts, "docid", TEXT_BUCKETS), ("cells", cells, "cell", CELL_BUCKETS)):
+            df = df.withColumn("bucket", _bucket(key, n)).repartition("bucket").sortWithinPartitions("bucket", key)
+            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/{batches}")
+
+    def compact(self) -> None:
+        """Join the folders of all batches into one; the old ones stay for readers that began before."""
+        done = self._done()
+        if len(done) > 1:
+            low, high = done[0][0], done[-1][1]
+            self._write(f"{low}-{high}", self._kept("texts", _TEXTS), self._kept("cells", _CELLS))
+            touch(self.spark, f"{self.path}/done/{low}-{high}")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Accept a batch (docid, news_date, text; of ``articles``) and return its cases: docid, repeats (an accepted docid)."""
-        made = batch.select("docid", F.col("news_date").cast("int").alias("news_date"), "text").mapInArrow(_vectors, "docid string, news_date int, text string, copy binary, n int, cells array<bigint>, s0 bigint, s1 bigint")
-        new = materialize(made, "new")
-        when = F.struct(F.coalesce("news_date", F.lit(2**31 - 1)).alias("d"), F.col("docid").alias("id"))
+        """Accept a batch (docid, news_date, text; of ``articles``) and return its cases: docid, repeats (an accepted docid).
+
+        Articles that are in the index already are left out; the rest of a batch added again gives its cases again.
+        """
+        done = self._done()
+        number = done[-1][1] + 1 if done else 0
+        batch = batch.select("docid", F.col("news_date").cast("int").alias("news_date"), "text").where("docid is not null")
+        if done:
+            batch = batch.join(self.accepted().select("docid"), "docid", "left_anti")
+        new = materialize(batch.mapInArrow(_vectors, "docid string, news_date int, text string, copy binary, n int, cells array<bigint>"), "new")
+        when = F.struct(F.coalesce("news_date", F.lit(NO_DATE)).alias("d"), F.col("docid").alias("id"))
         first = materialize(new.where("n > 0").groupBy("copy").agg(F.min(when).alias("first"), F.max(when).alias("last"), F.count("*").alias("copies")).select("copy", "first", "last", F.col("first.id").alias("docid"), "copies"), "first")
         own = new.join(first.select("docid", F.col("first").alias("at"), "last"), "docid")
-        cells = materialize(own.select("docid", "at", "last", "n", "s0", "s1", F.explode("cells").alias("cell")), "cells")
+        cells = materialize(own.select("docid", "at", "last", "n", F.explode("cells").alias("cell")), "cells")
         texts = new.select("docid", "text")
-        old = self._probe(cells, self.cells())
-        old = _verified(old, texts, self.accepted().select("docid", "text")) if self.batches else self.spark.createDataFrame([], "a string, b string")
+        old = self.spark.createDataFrame([], "a string, b string")
+        if done:
+            met = _side(cells, "a").join(_side(self.cells_for(cells), "b"), "cell").where(_near()).select("a", "b").distinct()
+            old = _verified(met, texts, self)
         taken, gone, pairs = self._resolve(cells, texts, old.select(F.col("a").alias("docid")).distinct())
         # what is refused is held against all that was accepted before its last copy
         late, known = _side(cells.join(gone, "docid", "left_semi"), "a", "last"), _side(cells.join(taken, "docid", "left_semi"), "b", "at")
@@ -167,22 +228,15 @@ class ArticleIndex:
         of_first = every.where("copies > 1 and docid <> a").join(taken.select(F.col("docid").alias("a")), "a", "left_semi").select("docid", F.col("a").alias("repeats"))
         cases = materialize(of_old.unionByName(of_new).unionByName(of_first), "cases")
         short = new.where("n = 0").select("docid")
-        keep = taken.unionByName(short)
-        new.join(keep, "docid", "left_semi").select("docid", "news_date", "n", "text").write.mode("append").parquet(f"{self.path}/texts")
-        cells.join(taken, "docid", "left_semi").select("cell", "docid", "n", "s0", "s1").repartition("cell").write.mode("append").parquet(f"{self.path}/cells")
-        self.batches += 1
+        kept = new.join(taken.unionByName(short), "docid", "left_semi").select("docid", "news_date", "n", "text")
+        self._write(f"{number}-{number}", kept, cells.join(taken, "docid", "left_semi").select("cell", "docid", "n"))
+        touch(self.spark, f"{self.path}/done/{number}-{number}")
         return cases
 
     @staticmethod
     def _any(df: DataFrame) -> bool:
         return not df.isEmpty()
 
-    @staticmethod
-    def _probe(cells: DataFrame, known: DataFrame) -> DataFrame:
-        """Distinct pairs (a probed, b known) that share a cell and whose sizes allow a match."""
-        x, y = _side(cells, "a"), _side(known, "b")
-        return x.join(y, "cell").where(_near()).select("a", "b").distinct()
-
     def _resolve(self, cells: DataFrame, texts: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Accepted ids, ids that still have to be held against them, and the pairs (refused, accepted) already known, in either order."""
         open_cells = cells.join(repeated, "docid", "left_anti")
@@ -208,37 +262,43 @@ class ArticleIndex:
             open_cells = materialize(rest, "open")
             if after > 0.9 * before:
                 break
-        x, y = _side(open_cells, "a", "at"), _side(open_cells, "b", "at")
-        pairs = _verified(x.join(y, "cell").where((F.col("at_a") > F.col("at_b")) & _near()).select("a", "b").distinct(), texts, texts)
-        ids = materialize(open_cells.select("docid").distinct(), "ids")
-        left = pairs
-        lost = cells.sparkSession.createDataFrame([], "docid string")
+        several = open_cells.groupBy("cell").agg(F.ceil(F.count("*") / HOT).cast("bigint").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+        met = open_cells.join(several, "cell")
+        x = _side(met.withColumn("block", F.pmod(F.xxhash64("docid"), "blocks")), "a", "at", "block").withColumnRenamed("block_a", "block")
+        y = _side(met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))), "b", "at", "block").withColumnRenamed("block_b", "block")
+        pairs = _verified(x.join(y, ["cell", "block"]).where((F.col("at_a") > F.col("at_b")) & _near()).select("a", "b").distinct(), texts, texts)
+        left, lost = pairs, []
         while self._any(left):  # first come, first accepted
             waits = left.select(F.col("a").alias("docid")).distinct()
             ready = left.select(F.col("b").alias("docid")).distinct().join(waits, "docid", "left_anti")
             out = materialize(left.join(ready.select(F.col("docid").alias("b")), "b", "left_semi").select(F.col("a").alias("docid")).distinct(), "out")
-            lost = materialize(lost.unionByName(out), "lost")
+            lost.append(out)
             gone_a, gone_b = out.select(F.col("docid").alias("a")), out.select(F.col("docid").alias("b"))
             left = materialize(left.join(gone_a, "a", "left_anti").join(gone_b, "b", "left_anti").select("a", "b"), "left")
-        taken = materialize(taken.unionByName(ids.join(lost, "docid", "left_anti")), "taken")
+        ids = open_cells.select("docid").distinct()
+        for out in lost:
+            ids = ids.join(out, "docid", "left_anti")
+        taken = materialize(taken.unionByName(ids), "taken")
         swapped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a later copy of a refused text may follow what the first came before
         pairs = pairs.unionByName(swapped).join(taken.select(F.col("docid").alias("b")), "b", "left_semi").select("a", "b")
         return taken, gone, pairs
 
 
-def repeated_articles(df: DataFrame, batches: int = 2) -> DataFrame:
-    """docid_a < docid_b: each repeating article of ``search_sentence`` with the accepted ones it repeats, days taken in so many batches."""
+def repeated_articles(df: DataFrame, months: int = 3, path: str | None = None) -> DataFrame:
+    """docid_a < docid_b: each repeating article of ``search_sentence`` with the accepted ones it repeats.
+
+    Each span of so many calendar months is one batch, articles without a date the last; the rows are the same for any span.
+    """
     spark = df.sparkSession
-    every = materialize(articles(df), "articles")
-    cuts = sorted({int(q) for q in every.where("news_date is not null").approxQuantile("news_date", [i / batches for i in range(1, batches)], 0.01)})
-    index, low, out = ArticleIndex(spark), None, None
-    for high in [*cuts, None]:
-        part = every
-        if low is not None:
-            part = part.where(F.coalesce("news_date", F.lit(2**31 - 1)) > low)
-        if high is not None:
-            part = part.where(F.col("news_date") <= high)
-        cases = index.add(part)
+    kept = scratch_path(spark, "articles")
+    month = F.expr("news_date div 10000 * 12 + least(news_date div 100 % 100, 12)")  # never falls as the date grows
+    every = articles(df).withColumn("span", F.coalesce(F.floor(month / months), F.lit(NO_DATE)).cast("int"))
+    every.write.partitionBy("span").parquet(kept)
+    every = spark.read.schema(every.schema).parquet(kept)
+    index, out = ArticleIndex(spark, path), None
+    for k in sorted(r["span"] for r in every.select("span").distinct().collect()):  # a row per span
+        cases = index.add(every.where(F.col("span") == k).drop("span"))
         out = cases if out is None else out.unionByName(cases)
-        low = high
+    if out is None:
+        out = spark.createDataFrame([], "docid string, repeats string")
     return out.select(F.least("docid", "repeats").alias("docid_a"), F.greatest("docid", "repeats").alias("docid_b"))
