@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.spans import code_points, gram_hashes
-from textloom.runtime import list_names, materialize, scratch_path, touch
+from textloom.runtime import add_dense_ids, list_names, materialize, scratch_path, touch
 
 RUN = 5
 SHARE = 0.6
@@ -114,16 +114,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(pairs: DataFrame, c: str, texts: DataFrame) -> DataFrame:
-    return texts.join(pairs.select(F.col(c).alias("docid")).distinct(), "docid", "left_semi").select(F.col("docid").alias(c), F.col("text").alias(f"text_{c}"))
+    return texts.join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame | ArticleIndex) -> DataFrame:
-    """Candidate pairs (a of ``left``, b of ``right``) that repeat each other, compared by full text; written once."""
+    """Candidate pairs (a of ``left``, b of ``right``, or of ``left`` and an index) that repeat each other, compared by full text; written once."""
     pairs = materialize(pairs, "candidates")
-    if isinstance(right, ArticleIndex):
-        right = right.texts_for(pairs.select(F.col("b").alias("docid")))
+    if isinstance(right, ArticleIndex):  # the batch's own texts, and those of history it needs
+        right = left.unionByName(right.texts_for(pairs.select(F.col("b").alias("id"))).select("id", "text"))
     both = pairs.join(_texts_of(pairs, "a", left), "a").join(_texts_of(pairs, "b", right), "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(_verify, "a string, b string"), "pairs")
+    return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "pairs")
 
 
 def _near() -> Column:
@@ -133,19 +133,26 @@ def _near() -> Column:
 
 
 def _side(cells: DataFrame, side: str, *more: str) -> DataFrame:
-    return cells.select("cell", F.col("docid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *more)])
+    return cells.select("cell", F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *more)
 
 
-def _bucket(key: str, n: int) -> Column:
+def _cells(arts: DataFrame) -> DataFrame:
+    return arts.select("id", "n", F.explode("cells").alias("cell"))
+
+
+def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("bucket")
 
 
-_TEXTS = "docid string, news_date int, n int, text string, bucket int"
-_CELLS = "cell bigint, docid string, n int, bucket int"
+_TEXTS = "id bigint, docid string, news_date int, n int, text string, bucket int"
+_CELLS = "cell bigint, id bigint, n int, bucket int"
 
 
 class ArticleIndex:
-    """The persisted index; ``path`` is a shared folder, a new one by default. An index that is there is gone on with."""
+    """The persisted index; ``path`` is a shared folder, a new one by default. An index that is there is gone on with.
+
+    Accepted articles have numbers: the batch in the upper bits, the place in its order below. Those without runs have none.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or scratch_path(spark, "article-index")
@@ -169,24 +176,27 @@ class ArticleIndex:
             out = out.unionByName(p)
         return (out.where(F.col("bucket").isin(buckets)) if buckets is not None else out).drop("bucket")
 
-    def _buckets(self, keys: DataFrame, key: str, n: int) -> list[int]:
-        return [r["bucket"] for r in keys.select(_bucket(key, n)).distinct().collect()]  # n at most
-
     def accepted(self) -> DataFrame:
-        """docid, news_date, n, text of all accepted articles."""
+        """id, docid, news_date, n, text of all accepted articles."""
         return self._kept("texts", _TEXTS)
 
     def texts_for(self, ids: DataFrame) -> DataFrame:
-        """docid, text of the buckets that hold ``ids``."""
-        return self._kept("texts", _TEXTS, self._buckets(ids, "docid", TEXT_BUCKETS)).select("docid", "text")
-
-    def cells_for(self, cells: DataFrame) -> DataFrame:
-        """cell, docid, n of the buckets that hold ``cells``."""
-        return self._kept("cells", _CELLS, self._buckets(cells, "cell", CELL_BUCKETS))
-
-    def _write(self, batches: str, texts: DataFrame, cells: DataFrame) -> None:
-        for name, df, key, n in (("texts", texts, "docid", TEXT_BUCKETS), ("cells", cells, "cell", CELL_BUCKETS)):
-            df = df.withColumn("bucket", _bucket(key, n)).repartition("bucket").sortWithinPartitions("bucket", key)
+        """id, docid, text of the buckets that hold ``ids``."""
+        found = ids.select(_bucket(F.col("id"), TEXT_BUCKETS)).distinct().collect()  # TEXT_BUCKETS rows at most
+        return self._kept("texts", _TEXTS, [r["bucket"] for r in found]).select("id", "docid", "text")
+
+    def cells_for(self, cells: DataFrame, articles: int) -> DataFrame:
+        """cell, id, n of the buckets that hold ``cells``, the cells of so many articles; where they are many they fall in all buckets."""
+        if articles > CELL_BUCKETS:
+            return self._kept("cells", _CELLS)
+        found = cells.select(_bucket(F.col("cell"), CELL_BUCKETS)).distinct().collect()  # CELL_BUCKETS rows at most
+        return self._kept("cells", _CELLS, [r["bucket"] for r in found])
+
+    def _write(self, batches: str, texts: DataFrame, cells: DataFrame, articles: int) -> None:
+        key = F.coalesce("id", F.xxhash64("docid"))
+        files = articles * BANDS // (CELL_BUCKETS * 4_000_000) + 1
+        for name, df, key, n in (("texts", texts, key, TEXT_BUCKETS), ("cells", cells, F.col("cell"), CELL_BUCKETS)):
+            df = df.withColumn("bucket", _bucket(key, n)).repartition("bucket", F.pmod(key, F.lit(files)))
             df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/{batches}")
 
     def compact(self) -> None:
@@ -194,7 +204,8 @@ class ArticleIndex:
         done = self._done()
         if len(done) > 1:
             low, high = done[0][0], done[-1][1]
-            self._write(f"{low}-{high}", self._kept("texts", _TEXTS), self._kept("cells", _CELLS))
+            every = self._kept("texts", _TEXTS)
+            self._write(f"{low}-{high}", every, self._kept("cells", _CELLS), every.count())
             touch(self.spark, f"{self.path}/done/{low}-{high}")
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -208,80 +219,107 @@ class ArticleIndex:
         if done:
             batch = batch.join(self.accepted().select("docid"), "docid", "left_anti")
         new = materialize(batch.mapInArrow(_vectors, "docid string, news_date int, text string, copy binary, n int, cells array<bigint>"), "new")
-        when = F.struct(F.coalesce("news_date", F.lit(NO_DATE)).alias("d"), F.col("docid").alias("id"))
-        first = materialize(new.where("n > 0").groupBy("copy").agg(F.min(when).alias("first"), F.max(when).alias("last"), F.count("*").alias("copies")).select("copy", "first", "last", F.col("first.id").alias("docid"), "copies"), "first")
-        own = new.join(first.select("docid", F.col("first").alias("at"), "last"), "docid")
-        cells = materialize(own.select("docid", "at", "last", "n", F.explode("cells").alias("cell")), "cells")
-        texts = new.select("docid", "text")
-        old = self.spark.createDataFrame([], "a string, b string")
-        if done:
-            met = _side(cells, "a").join(_side(self.cells_for(cells), "b"), "cell").where(_near()).select("a", "b").distinct()
-            old = _verified(met, texts, self)
-        taken, gone, pairs = self._resolve(cells, texts, old.select(F.col("a").alias("docid")).distinct())
-        # what is refused is held against all that was accepted before its last copy
-        late, known = _side(cells.join(gone, "docid", "left_semi"), "a", "last"), _side(cells.join(taken, "docid", "left_semi"), "b", "at")
-        more = late.join(known, "cell").where((F.col("last_a") > F.col("at_b")) & _near()).select("a", "b").distinct()
-        links = materialize(pairs.unionByName(_verified(more, texts, texts) if self._any(gone) else pairs.limit(0)).distinct(), "links")
-        every = new.where("n > 0").select("docid", "copy", when.alias("at")).join(first.select("copy", F.col("docid").alias("a"), "copies"), "copy").drop("copy")
-        of_old = old.join(every, "a").select("docid", F.col("b").alias("repeats"))
-        of_new = links.join(first.select(F.col("docid").alias("b"), F.col("first").alias("at_b")), "b").join(every, "a").where("at > at_b").select("docid", F.col("b").alias("repeats"))
-        of_first = every.where("copies > 1 and docid <> a").join(taken.select(F.col("docid").alias("a")), "a", "left_semi").select("docid", F.col("a").alias("repeats"))
-        cases = materialize(of_old.unionByName(of_new).unionByName(of_first), "cases")
-        short = new.where("n = 0").select("docid")
-        kept = new.join(taken.unionByName(short), "docid", "left_semi").select("docid", "news_date", "n", "text")
-        self._write(f"{number}-{number}", kept, cells.join(taken, "docid", "left_semi").select("cell", "docid", "n"))
+        when = F.struct(F.coalesce("news_date", F.lit(NO_DATE)).alias("d"), F.col("docid").alias("i"))
+        first = new.where("n > 0").groupBy("copy").agg(F.min(when).alias("first"), F.count("*").alias("copies"))
+        first = add_dense_ids(first.select("copy", "first", F.col("first.i").alias("docid"), "copies"), ["first"], "id", number << 40)
+        arts = materialize(new.drop("copy", "news_date").join(first, "docid"), "arts")
+        count = arts.count()
+        taken, old, links = self._compare(arts, number << 40, count)
+        named = arts.select("id", "docid", "first", "copies", "copy")
+        every = new.where("n > 0").select("docid", "copy", when.alias("at")).join(named.select("copy", F.col("id").alias("a"), "first", "copies"), "copy").drop("copy")
+        cases = every.where("copies > 1 and at > first").join(taken.select(F.col("id").alias("a")), "a", "left_semi").select("docid", F.col("first.i").alias("repeats"))
+        of_new = links.join(named.select(F.col("id").alias("b"), F.col("first").alias("at_b")), "b").join(every, "a").where("at > at_b").select("docid", F.col("at_b.i").alias("repeats"))
+        cases = cases.unionByName(of_new)
+        if old is not None:
+            names = self.texts_for(old.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("docid").alias("repeats"))
+            cases = cases.unionByName(old.join(names, "b").join(every, "a").select("docid", "repeats"))
+        cases = materialize(cases, "cases")
+        kept = arts.join(taken, "id", "left_semi")
+        dates = named.join(taken, "id", "left_semi").select("docid", "id")
+        stored = new.where("n = 0").withColumn("id", F.lit(None).cast("bigint")).unionByName(new.join(dates, "docid"))
+        self._write(f"{number}-{number}", stored.select("id", "docid", "news_date", "n", "text"), _cells(kept), count)
         touch(self.spark, f"{self.path}/done/{number}-{number}")
         return cases
 
-    @staticmethod
-    def _any(df: DataFrame) -> bool:
-        return not df.isEmpty()
-
-    def _resolve(self, cells: DataFrame, texts: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Accepted ids, ids that still have to be held against them, and the pairs (refused, accepted) already known, in either order."""
-        open_cells = cells.join(repeated, "docid", "left_anti")
-        taken = cells.sparkSession.createDataFrame([], "docid string")
-        gone = repeated
-        while True:
-            size = open_cells.groupBy("cell").count().agg(F.max("count").alias("m")).first()["m"] or 0
-            if size <= HOT:
-                break
-            lead = open_cells.groupBy("cell").agg(F.min("at").alias("lead"), F.count("*").alias("members"))
-            led = materialize(open_cells.join(lead, "cell").withColumn("ahead", F.col("at") == F.col("lead")), "led")
-            sure = led.groupBy("docid").agg(F.min("ahead").alias("sure")).where("sure").select("docid")
-            star = led.where("not ahead and members > 1").select(F.col("docid").alias("a"), F.col("lead.id").alias("b")).distinct()
-            star = star.join(sure.select(F.col("docid").alias("b")), "b", "left_semi").select("a", "b")
-            hit = _verified(star, texts, texts)
-            done = materialize(sure, "sure")
-            taken = materialize(taken.unionByName(done), "taken")
-            out = hit.select(F.col("a").alias("docid")).distinct()
-            gone = materialize(gone.unionByName(out), "gone")
-            rest = open_cells.join(done.unionByName(out), "docid", "left_anti")
-            # texts that share a cell with a leader but don't repeat it stay; no progress means pairs must be made
-            before, after = open_cells.select("docid").distinct().count(), rest.select("docid").distinct().count()
-            open_cells = materialize(rest, "open")
-            if after > 0.9 * before:
-                break
-        several = open_cells.groupBy("cell").agg(F.ceil(F.count("*") / HOT).cast("bigint").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-        met = open_cells.join(several, "cell")
-        x = _side(met.withColumn("block", F.pmod(F.xxhash64("docid"), "blocks")), "a", "at", "block").withColumnRenamed("block_a", "block")
-        y = _side(met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))), "b", "at", "block").withColumnRenamed("block_b", "block")
-        pairs = _verified(x.join(y, ["cell", "block"]).where((F.col("at_a") > F.col("at_b")) & _near()).select("a", "b").distinct(), texts, texts)
-        left, lost = pairs, []
-        while self._any(left):  # first come, first accepted
-            waits = left.select(F.col("a").alias("docid")).distinct()
-            ready = left.select(F.col("b").alias("docid")).distinct().join(waits, "docid", "left_anti")
-            out = materialize(left.join(ready.select(F.col("docid").alias("b")), "b", "left_semi").select(F.col("a").alias("docid")).distinct(), "out")
+    def _compare(self, arts: DataFrame, base: int, count: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        """Accepted ids of a batch; pairs (of the batch, of history) that repeat each other; pairs (of the batch, accepted) that do, in either order."""
+        texts = arts.select("id", "text")
+        probed = None
+        if base:
+            known = _side(self.cells_for(_cells(arts), count), "b")
+            probed = _side(_cells(arts), "a").join(known, "cell").where(_near()).select("a", "b").distinct()
+        left, sure, gone, old = arts.select("id", "n", "cells"), [], [], None
+        met = _shared_cells(left)
+        if _largest(met) > HOT:
+            if base:
+                old = _verified(probed, texts, self)
+                gone.append(materialize(old.select(F.col("a").alias("id")).distinct(), "gone"))
+                left = left.join(gone[0], "id", "left_anti")
+            left, met = self._thin_out(left, texts, sure, gone)
+        met = met.withColumn("blocks", F.ceil(F.col("m") / HOT).cast("bigint"))
+        x = _side(met, "a", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+        y = _side(met, "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        pairs = x.join(y, ["cell", "block"]).where((F.col("a") > F.col("b")) & _near()).select("a", "b").distinct()
+        if base and old is None:
+            both = _verified(pairs.unionByName(probed), texts, self)
+            old, pairs = both.where(F.col("b") < base), both.where(F.col("b") >= base)
+            lost = [materialize(old.select(F.col("a").alias("id")).distinct(), "gone")]
+        else:
+            pairs, lost = _verified(pairs, texts, texts), []
+        open_pairs = _without(pairs, lost[0]) if lost else pairs
+        while not open_pairs.isEmpty():  # first come, first accepted
+            waits = open_pairs.select(F.col("a").alias("b")).distinct()
+            out = materialize(open_pairs.join(waits, "b", "left_anti").select(F.col("a").alias("id")).distinct(), "out")
             lost.append(out)
-            gone_a, gone_b = out.select(F.col("docid").alias("a")), out.select(F.col("docid").alias("b"))
-            left = materialize(left.join(gone_a, "a", "left_anti").join(gone_b, "b", "left_anti").select("a", "b"), "left")
-        ids = open_cells.select("docid").distinct()
+            open_pairs = materialize(_without(open_pairs, out), "left")
+        taken = left.select("id")
         for out in lost:
-            ids = ids.join(out, "docid", "left_anti")
-        taken = materialize(taken.unionByName(ids), "taken")
-        swapped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a later copy of a refused text may follow what the first came before
-        pairs = pairs.unionByName(swapped).join(taken.select(F.col("docid").alias("b")), "b", "left_semi").select("a", "b")
-        return taken, gone, pairs
+            taken = taken.join(out, "id", "left_anti")
+        for more in sure:
+            taken = taken.unionByName(more)
+        taken = materialize(taken, "taken")
+        # a later copy of a refused text may follow what the first came before
+        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(taken.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+        for out in gone:  # what was thinned out is held against all that was accepted
+            late = _side(arts.join(out, "id", "left_semi").select("id", "n", "copies", F.explode("cells").alias("cell")), "a", "copies")
+            late = late.join(_side(_cells(arts.join(taken, "id", "left_semi")), "b"), "cell").where(((F.col("b") < F.col("a")) | (F.col("copies") > 1)) & _near())
+            pairs = pairs.unionByName(_verified(late.select("a", "b").distinct(), texts, texts))
+        return taken, old, pairs.distinct()
+
+    @staticmethod
+    def _thin_out(left: DataFrame, texts: DataFrame, sure: list[DataFrame], gone: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Take out of ``left`` the firsts of large cells and what repeats them, to ``sure`` and ``gone``, while that helps."""
+        while True:
+            met = _shared_cells(left)
+            if _largest(met) <= HOT:
+                return left, met
+            led = materialize(met.where("lead <> id").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "led")
+            unsure = led.select(F.col("a").alias("id")).distinct()
+            hit = _verified(led.join(unsure.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), texts, texts)
+            sure.append(materialize(left.select("id").join(unsure, "id", "left_anti"), "sure"))
+            gone.append(materialize(hit.select(F.col("a").alias("id")).distinct(), "gone"))
+            # what shares a cell with a first but doesn't repeat it stays; no progress means pairs must be made
+            rest = materialize(left.join(sure[-1].unionByName(gone[-1]), "id", "left_anti"), "open")
+            if rest.count() > 0.9 * left.count():
+                return rest, _shared_cells(rest)
+            left = rest
+
+
+def _shared_cells(arts: DataFrame) -> DataFrame:
+    """cell, id, n, lead (the first id), m (how many) of all cells that hold several articles."""
+    spread = _cells(arts).repartition("cell")  # one exchange for both sides
+    lead = spread.groupBy("cell").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    return materialize(spread.join(lead, "cell"), "met")
+
+
+def _largest(met: DataFrame) -> int:
+    return met.agg(F.max("m").alias("m")).first()["m"] or 0
+
+
+def _without(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    for c in ("a", "b"):
+        pairs = pairs.join(ids.select(F.col("id").alias(c)), c, "left_anti").select("a", "b")
+    return pairs
 
 
 def repeated_articles(df: DataFrame, months: int = 3, path: str | None = None) -> DataFrame:
