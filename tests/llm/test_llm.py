@@ -436,7 +436,9 @@ def brute_spans(docs):
 
 
 def test_shared_spans(spark, monkeypatch):
-    monkeypatch.setattr(spans, "BLOCK", 3)
+    monkeypatch.setattr(groups, "BLOCK", 3)
+    monkeypatch.setattr(spans, "SHARD_CHARS", 400)
+    monkeypatch.setattr(spans, "SHARD_DOCS", 2)
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdef \n中é🎬") for _ in range(n))
     piece = [text(n) for n in (150, 151, 149, 200, 400, 60)]
@@ -456,6 +458,10 @@ def test_shared_spans(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == pairs
     assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_amount(df).collect()} == shared
     assert spans.shared_pairs(df.limit(0)).collect() == []
+    classes = collections.defaultdict(set)
+    for r in spans.shared_classes(df).collect():
+        classes[r["phrase"], r["cls"], r["n"]].add(r["doc_id"])
+    assert {p for c in classes.values() for p in itertools.combinations(sorted(c), 2)} == set(got) and all(n == len(c) for (_, _, n), c in classes.items())
 
 
 def test_long_texts_in_pieces():

@@ -104,12 +104,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the sets that hold one same run of 150 code points: class, its number of documents, and each of them."""
+    c = spans.shared_classes(table(spark, d, "documents"))
+    return c.select(F.xxhash64("phrase", "cls").alias("class_id"), F.col("n").alias("class_documents"), "doc_id")
+
+
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document stands in another one too."""
     return spans.shared_amount(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p3_found, p3_blocks, p3_clean, p4_found, p4_groups, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p3_found, p3_blocks, p3_clean, p4_found, p4_groups, p5_found, p7_ids, p8_mix, p8_shares, p8_reachable_shares, p9_found, p9_classes, p9_shared)}
 
 _MEMBERS = """WITH m AS (
   SELECT DISTINCT 'sentence' AS basket_kind, sentence_index AS basket, lower(trim(e)) AS item

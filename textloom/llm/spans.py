@@ -4,9 +4,10 @@
    two texts that share such a run share its anchor at the same place in it.
 2. Anchors whose hash stands in two or more documents are the candidate phrases; least and greatest document per hash
    tell, combined before the shuffle.
-3. Each task compiles the phrases of its own documents into Aho-Corasick automata of at most ``SHARD_CHARS`` characters
-   and streams these documents through them: every occurrence of every phrase, compared letter by letter. Phrases that
-   no document of the task holds aren't in its automata, so all work is linear in the corpus.
+3. The confirmed phrases, each once, form one table, cut into shards of about ``SHARD_CHARS`` characters by the least document
+   that holds them, so that the phrases of one passage share a shard. Each shard is compiled into an Aho-Corasick automaton,
+   and all documents with a phrase of the shard are streamed through it: every occurrence of every phrase is found, letter
+   by letter, whether it is an anchor there or not. A shard of many documents is compiled in several tasks of ``SHARD_DOCS``.
 4. An occurrence has a context: the up to 250 code points in which a run of 150 with this phrase as its anchor can lie.
    Documents with the same context share a run outright. Where a phrase has several contexts, those 150-grams of each
    context are compared whose anchor the phrase is; contexts are few, as equal ones count once.
@@ -30,15 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.groups import block_pairs
 from textloom.runtime import materialize
 
 RUN = 150
 GRAM = 50
 SIDE = RUN - GRAM
-#: Characters of text hashed at once, characters of phrases in one automaton, documents of a class in one block.
+#: Characters of text hashed at once, characters of phrases in one automaton, documents streamed through it in one task.
 CHUNK = 1_000_000
 SHARD_CHARS = 1_000_000
-BLOCK = 400
+SHARD_DOCS = 5_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -131,18 +133,47 @@ def _long(text: str, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
 
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows shard, doc_id, text: each phrase of its home document (without doc_id), and each document once per shard it has phrases of."""
+    kinds = [pa.int32(), pa.int64(), pa.string()]
+    for b in batches:
+        out: list[tuple] = []
+        size = 0
+        for doc, text, routes, homes in zip(*(b.column(k) for k in range(4))):
+            t, doc = text.as_py(), doc.as_py()
+            out.extend((h["shard"], None, t[h["at"] : h["at"] + GRAM]) for h in homes.as_py() or ())
+            for shard in routes.as_py():
+                out.append((shard, doc, t))
+                size += len(t)
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["shard", "doc_id", "text"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["shard", "doc_id", "text"])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc_id, at, phrase, context (hashes), lead (characters of the context before the phrase), size (of the context), text (its characters, once per automaton)."""
+    """Stream documents through the automata of their shards; rows come by shard and part, phrases (no doc_id) first.
+
+    Rows doc_id, at, phrase, context (hashes), lead (characters of the context before the phrase), size (of the context), text (its characters, once per automaton).
+    """
     names = ["doc_id", "at", "phrase", "context", "lead", "size", "text"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-    def search(ids: list[int], texts: list[str], phrases: list[str]) -> Iterator[pa.RecordBatch]:
-        auto = ahocorasick.Automaton()
-        for p in phrases:
-            auto.add_word(p, _long(p))
-        auto.make_automaton()
-        out: list[tuple] = []
-        told: set[tuple[int, int]] = set()
-        for doc, text in zip(ids, texts):
+    out: list[tuple] = []
+    told: set[tuple[int, int]] = set()
+    group, auto, ready = None, ahocorasick.Automaton(), False
+    for b in batches:
+        for shard, part, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            text = text.as_py()
+            if group != (shard, part):
+                group, auto, ready = (shard, part), ahocorasick.Automaton(), False
+                told.clear()
+            if doc is None:
+                auto.add_word(text, _long(text))
+                continue
+            if not ready:
+                auto.make_automaton()
+                ready = True
             for end, phrase in auto.iter(text):
                 a = end + 1 - GRAM
                 lo = max(0, a - SIDE)
@@ -156,30 +187,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                 out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-    ids: list[int] = []
-    texts: list[str] = []
-    phrases: dict[str, None] = {}
-    for b in batches:
-        doc, text, at = b.column(0), b.column(1), b.column(2)
-        for i in range(b.num_rows):
-            t = text[i].as_py()
-            own = dict.fromkeys(t[a : a + GRAM] for a in at[i].as_py())
-            if len(own) * GRAM > SHARD_CHARS:  # one very long text: its phrases in several automata
-                listed = list(own)
-                for k in range(0, len(listed), SHARD_CHARS // GRAM):
-                    yield from search([doc[i].as_py()], [t], listed[k : k + SHARD_CHARS // GRAM])
-                continue
-            if (len(phrases) + len(own)) * GRAM > SHARD_CHARS and texts:
-                yield from search(ids, texts, list(phrases))
-                ids, texts, phrases = [], [], {}
-            ids.append(doc[i].as_py())
-            texts.append(t)
-            phrases.update(own)
-    if texts:
-        yield from search(ids, texts, list(phrases))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
 def _context_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +209,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """Every occurrence of every recurring phrase (step 1 to 3), written once. ``docs``: doc_id, text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(f"doc_id is not null and length(text) >= {RUN}")
     grams = materialize(docs.mapInArrow(_anchor_rows, "doc_id bigint, at int, gram bigint"), "anchors")
-    recurring = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-    places = grams.join(recurring, "gram", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    found = docs.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(_occurrences, "doc_id bigint, at int, phrase bigint, context bigint, lead int, size int, text string")
+    least = F.min(F.struct("doc_id", "at")).alias("home")
+    phrases = grams.groupBy("gram").agg(least, F.max("doc_id").alias("most")).where("home.doc_id < most").select("gram", "home.doc_id", "home.at")
+    phrases = materialize(phrases, "phrases")
+    shards = max(1, -(-phrases.count() * GRAM // SHARD_CHARS))
+    phrases = phrases.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    routes = grams.select("doc_id", "gram").join(phrases.select("gram", "shard"), "gram").groupBy("doc_id").agg(F.collect_set("shard").alias("routes"))
+    homes = phrases.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "at")).alias("homes"))
+    routes = materialize(routes.join(homes, "doc_id", "left"), "routes")
+    parts = routes.select(F.explode("routes").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("parts"))
+    rows = docs.join(routes, "doc_id").select("doc_id", "text", "routes", "homes").mapInArrow(_routed, "shard int, doc_id bigint, text string").join(parts, "shard")
+    part = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "parts").cast("int")))
+    rows = rows.select("shard", F.explode(part).alias("part"), "doc_id", "text")
+    rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("doc_id").asc_nulls_first())
+    found = rows.mapInArrow(_occurrences, "doc_id bigint, at int, phrase bigint, context bigint, lead int, size int, text string")
     return materialize(found, "occurrences")
 
 
@@ -233,19 +253,23 @@ def shared_runs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, whole.unionByName(parts)
 
 
-def shared_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id_a < doc_id_b of every two documents that hold one same run of at least 150 code points."""
+def shared_classes(docs: DataFrame) -> DataFrame:
+    """phrase, cls, doc_id, n: the documents of every set that holds one same run, each set once; n: how many they are.
+
+    All pairs that share a run are pairs of some set, so this says the same as ``shared_pairs`` in a row per member.
+    """
     found = occurrences(docs)
     classes, _ = shared_runs(found)
     held = found.select("phrase", "context", "doc_id").distinct()
     member = materialize(classes.join(held, ["phrase", "context"]).select("phrase", "cls", "doc_id").distinct(), "members")
     size = member.groupBy("phrase", "cls").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
     once = size.groupBy("n", "x", "y").agg(F.min(F.struct("phrase", "cls")).alias("k"))  # one class of each set of documents
-    once = once.select("k.phrase", "k.cls", F.ceil(F.col("n") / BLOCK).cast("bigint").alias("blocks"))
-    m = member.join(once, ["phrase", "cls"])
-    left = m.select("phrase", "cls", F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
-    right = m.select("phrase", "cls", F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    return left.join(right, ["phrase", "cls", "block"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    return member.join(once.select("k.phrase", "k.cls", "n"), ["phrase", "cls"])
+
+
+def shared_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id_a < doc_id_b of every two documents that hold one same run of at least 150 code points."""
+    return block_pairs(materialize(shared_classes(docs).drop("n"), "classes"), ["phrase", "cls"], "doc_id").distinct()
 
 
 def shared_amount(docs: DataFrame) -> DataFrame:
