@@ -117,12 +117,15 @@ def _basket_lists(members: DataFrame) -> DataFrame:
     small = sizes.where(F.col("count").between(2, BLOCK)).select("basket")
     large = sizes.where(F.col("count") > BLOCK).select("basket", (F.col("count") / (BLOCK // 2) + 1).cast("int").alias("blocks"))
     one = members.join(small, "basket", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_list("code")).alias("a")).select("a", F.lit(None).cast("array<int>").alias("b"))
-    cut = sized.join(large, "basket").withColumn("block", F.pmod("block", "blocks")).groupBy("basket", "block").agg(F.array_sort(F.collect_list("code")).alias("a"))
+    cut = sized.join(large, "basket").withColumn("block", F.pmod("block", "blocks").cast("int")).groupBy("basket", "blocks", "block").agg(F.array_sort(F.collect_list("code")).alias("a"))
     cut = materialize(cut, "blocks")
     inner = cut.select("a", F.lit(None).cast("array<int>").alias("b"))
-    x, y = cut.alias("x"), cut.alias("y")
-    outer = x.join(y, (F.col("x.basket") == F.col("y.basket")) & (F.col("x.block") < F.col("y.block"))).select("x.a", F.col("y.a").alias("b"))
-    return one.unionByName(inner).unionByName(outer.repartition(F.xxhash64("a", "b")))
+    # every two blocks of a basket meet under a key of their own, so that one basket's pairs of blocks are spread over tasks
+    last = F.col("blocks") - 1
+    x = cut.where(F.col("block") < last).select("basket", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, last)).alias("j"), "a")
+    y = cut.where("block > 0").select("basket", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("a").alias("b"))
+    outer = x.join(y, ["basket", "i", "j"]).select("a", "b")
+    return one.unionByName(inner).unionByName(outer)
 
 
 def pair_statistics(members: DataFrame, min_count: int = 1, min_lift: float = 0.0) -> DataFrame:
