@@ -183,6 +183,7 @@ def test_blocks_have_no_longest_length(spark):
     longer = collections.defaultdict(int)
     for b, c in n.items():
         longer[b[:-1]] = max(longer[b[:-1]], c)
+        longer[b[1:]] = max(longer[b[1:]], c)
     want = sorted(("s", len(b), c, min(i for _, i in at[b])) for b, c in n.items() if longer[b] < c)
     got = sorted(tuple(r) for r in lines.maximal_blocks(df, 3).select("source", "lines", "docs", "first_id").collect())
     assert max(w[1] for w in want) == 19 and got == want

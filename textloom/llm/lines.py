@@ -6,7 +6,8 @@ together by range partitioning (sample sort), which is the suffix array; adjacen
 LCP intervals, and an interval of depth k is a repeated block of k lines. The number of documents of an interval is the
 number of its suffixes less one for each neighbouring pair of suffixes of the same document that share the block, so it
 adds up over partitions and no source or line is ever gathered in one task. Blocks in at least ``min_docs`` documents
-are deleted; every line of a longer block is a block of depth 1 itself.
+are deleted; a longer block's lines stand in at least as many documents, so each is an interval of depth 1 itself, and
+deleting those deletes exactly the lines of all blocks.
 
 Blocks of more lines are found level by level: where a block of ``DEPTH`` lines is repeated, the next ``DEPTH`` lines are
 suffixes of their own, sorted under a 64-bit key of all lines before them, as long as any block still is repeated. Rows
@@ -172,7 +173,7 @@ def _key(depth: Column | str, block: str) -> Column:
 
 
 def block_levels(df: DataFrame, min_docs: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Places (key, sentence_id, source) and blocks (key, parent: key without the last line, lines, docs) of every repeated block, whatever its length."""
+    """Places (key, sentence_id, source, docid, at: where the block begins) and blocks (key, parent: key without the last line, lines, docs) of every repeated block, whatever its length."""
     whole = sfx = materialize(suffixes(source_lines(df), "docid", "at"), "suffixes")
     level, places, every = 0, None, None
     while True:
@@ -181,7 +182,10 @@ def block_levels(df: DataFrame, min_docs: int = 6) -> tuple[DataFrame, DataFrame
             return places, every
         parent = F.when(F.col("depth") > 1, _key(F.col("depth") - 1, "block")).when(F.lit(level > 0), F.col("src"))
         own = blocks.select(_key(F.col("depth"), "block").alias("key"), parent.alias("parent"), (F.col("depth") + level * DEPTH).alias("lines"), "docs")
-        starts = sfx.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("suffix")))).select(_key(F.col("depth"), "suffix").alias("key"), "sentence_id", "source")
+        # only suffixes whose first line is repeated can begin a block
+        one = blocks.where("depth = 1").select("src", F.col("block")[0].alias("line"))
+        live = sfx.withColumn("line", F.col("suffix")[0]).join(one, ["src", "line"], "left_semi")
+        starts = live.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("suffix")))).select(_key(F.col("depth"), "suffix").alias("key"), "sentence_id", "source", "docid", "at")
         places, every = (starts, own) if places is None else (places.unionByName(starts), every.unionByName(own))
         full = blocks.where(F.col("depth") == DEPTH).select("src", F.col("block").alias("suffix"))
         alive = sfx.join(full, ["src", "suffix"], "left_semi").withColumn("src", _key(F.lit(DEPTH), "suffix")).drop("suffix", "fresh")
@@ -191,11 +195,15 @@ def block_levels(df: DataFrame, min_docs: int = 6) -> tuple[DataFrame, DataFrame
 
 
 def maximal_blocks(df: DataFrame, min_docs: int = 6) -> DataFrame:
-    """source, lines (number), docs, first_id: blocks that no repeated longer block extends to the right in as many documents; ``first_id``: the least id at which the block begins."""
+    """source, lines (number), docs, first_id: blocks that no repeated longer block extends, to the right or to the left, in as many documents; ``first_id``: the least id at which the block begins."""
     places, blocks = block_levels(df, min_docs)
     best = blocks.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.max("docs").alias("more"))
     right = blocks.join(best, "key", "left").where("more is null or more < docs")
-    return places.join(right.select("key", "lines", "docs"), "key").groupBy("source", "key", "lines", "docs").agg(F.min("sentence_id").alias("first_id")).select("source", "lines", "docs", "first_id")
+    at = materialize(places.join(right.select("key", "lines", "docs"), "key"), "places")
+    # one more line before it and as many documents: what is found there holds this block everywhere
+    before = at.select("source", "docid", (F.col("at") + 1).alias("at"), (F.col("lines") - 1).alias("lines"), "docs")
+    inner = at.join(before, ["source", "docid", "at", "lines", "docs"], "left_semi").select("key").distinct()
+    return at.join(inner, "key", "left_anti").groupBy("source", "key", "lines", "docs").agg(F.min("sentence_id").alias("first_id")).select("source", "lines", "docs", "first_id")
 
 
 def cleaned_articles(df: DataFrame, min_docs: int = 6) -> DataFrame:
@@ -204,9 +212,11 @@ def cleaned_articles(df: DataFrame, min_docs: int = 6) -> DataFrame:
     Rows without source are kept. An article of which nothing stays has an empty text.
     """
     gone = found_lines(df, min_docs).withColumn("gone", F.lit(True))
-    last = F.max(F.struct("import_date", "sentence_position", "raw_sentence")).alias("r")
-    rows = df.where("_id is not null and docid is not null").groupBy(F.col("_id").alias("sentence_id"), "docid").agg(last)
-    rows = rows.select("sentence_id", "docid", "r.sentence_position", "r.raw_sentence").where("raw_sentence is not null").join(gone, "sentence_id", "left")
+    # the delivery that ``source_lines`` takes, and the last one where no delivery has a source
+    source = F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", ""))
+    last = F.max(F.struct(F.col("source").isNotNull().alias("has"), "import_date", source.alias("source"), "docid", "sentence_position", line_id("raw_sentence").alias("line"), "raw_sentence")).alias("r")
+    rows = df.where("_id is not null and docid is not null and raw_sentence is not null").groupBy(F.col("_id").alias("sentence_id")).agg(last)
+    rows = rows.select("sentence_id", "r.docid", "r.sentence_position", "r.raw_sentence").join(gone, "sentence_id", "left")
     kept = F.when(F.col("gone").isNull(), F.struct(F.coalesce("sentence_position", F.lit(2**31 - 1)).alias("p"), "sentence_id", "raw_sentence"))
     per = rows.groupBy("docid").agg(F.count(kept).alias("kept_lines"), F.count("gone").alias("removed_lines"), F.array_sort(F.collect_list(kept)).alias("a"))
     return per.select("docid", "kept_lines", "removed_lines", F.array_join(F.transform("a", lambda x: x["raw_sentence"]), "\n").alias("text"))
