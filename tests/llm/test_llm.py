@@ -126,7 +126,7 @@ def test_abbreviations_are_learned(spark):
     texts = []
     for _ in range(600):
         a, w = rng.choice(unlisted), rng.choice(said)
-        texts.append(f"{word().capitalize()} {' '.join(rng.sample(said, 5))} {word()} {a}. {word().capitalize()} {rng.choice(said)} {word()} {w}. {word().capitalize()} {word()} {rng.choice(said)} {word()}, {word()} {w}.")
+        texts.append(f"{word().capitalize()} {' '.join(rng.sample(said, 5))} {word()} {a}. {word().capitalize()} {rng.choice(said)} {word()} {w}. {word().capitalize()} {word()} {rng.choice(said)} {word()}, {word()} {w}. They met {(word() + word()).capitalize()}. So it was.")
     model = sentences.train_on(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id string, text string"))
     assert {model.used[a.lower()] for a in unlisted} == {"abbr"} and {model.used[w] for w in said} == {"word"}
     for text in ("We saw Sra. Lopez today.|Then Kap. Müller came.", "It was Sig. Rossi or Supt. Brown.|They ran.|So Brown Pty. Ltd. in May.", "She was old.|Then he ran!|It was Sra. Diaz?"):
