@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import linking as L
 from textloom.plans.base import C_SQL, S_SQL, TOK_SQL, Registry, constraints, sentences, tokens
 from textloom.plans.index_queries import _NAMES, entity_names
+from textloom.plans.qa import QUESTIONS_SQL, questions
 from textloom.runtime import table
 
 R = Registry()
@@ -332,16 +333,14 @@ def jn11_chunks_without_mention(spark, d):
 
 
 @R.add(
-    """WITH a AS (SELECT dump_id, article_no, p.context AS context, q.id AS qid, x.text AS answer, x.answer_start AS b, x.answer_start + length(x.text) AS e FROM (SELECT dump_id, article_no, p, unnest(p.qas) AS q FROM (SELECT dump_id, article_no, unnest(a.paragraphs) AS p FROM (
-SELECT dump_id, unnest(data) AS a, unnest(range(len(data))) AS article_no FROM qa_dump WHERE data IS NOT NULL))) t, unnest(q.answers) AS u(x)),
-w AS (SELECT DISTINCT context, wi, wb, wb + length(word) AS we FROM (SELECT context, wi, words[wi + 1] AS word, coalesce(list_sum(list_transform(words[1:wi], lambda z: length(z) + 1)), 0) AS wb FROM (SELECT context, string_split(context, ' ') AS words, unnest(range(len(string_split(context, ' ')))) AS wi FROM (SELECT DISTINCT context FROM a WHERE context IS NOT NULL))))
-SELECT qid, b, e, min(wi) AS first_word, max(wi) AS last_word FROM (SELECT DISTINCT qid, context, b, e FROM a WHERE qid IS NOT NULL) a JOIN w ON w.context = a.context AND w.wb < a.e AND a.b < w.we GROUP BY ALL"""
+    f"""WITH {QUESTIONS_SQL}, a AS (SELECT DISTINCT qid, context, x.answer_start AS b, x.answer_start + length(x.text) AS e FROM (SELECT id AS qid, context, unnest(answers) AS x FROM q WHERE context IS NOT NULL)),
+w AS (SELECT context, wi, wb, wb + length(word) AS we FROM (SELECT context, wi, words[wi + 1] AS word, coalesce(list_sum(list_transform(words[1:wi], lambda z: length(z) + 1)), 0) AS wb FROM (SELECT context, string_split(context, ' ') AS words, unnest(range(len(string_split(context, ' ')))) AS wi FROM (SELECT DISTINCT context FROM a))))
+SELECT qid, b, e, min(wi) AS first_word, max(wi) AS last_word FROM a JOIN w ON w.context = a.context AND w.wb < a.e AND a.b < w.we GROUP BY qid, b, e, a.context"""
 )
 def jn07_answer_words(spark, d):
     """Range join by overlap: the first and last word each answer touches."""
-    q = table(spark, d, "qa_dump").where("data is not null").select(F.explode("data").alias("a")).select(F.explode("a.paragraphs").alias("p")).select("p.context", F.explode("p.qas").alias("q"))
-    a = q.select("context", F.col("q.id").alias("qid"), F.explode("q.answers").alias("x")).select("qid", "context", F.col("x.answer_start").cast("bigint").alias("b"), (F.col("x.answer_start") + F.length("x.text")).cast("bigint").alias("e"))
-    a = a.where("qid is not null and context is not null").distinct()
+    a = questions(spark, d).select("context", F.col("id").alias("qid"), F.explode("answers").alias("x")).select("qid", "context", F.col("x.answer_start").alias("b"), (F.col("x.answer_start") + F.length("x.text")).alias("e"))
+    a = a.where("context is not null").distinct()
     words = F.split("context", " ")
     c = a.select("context").distinct().select("context", F.posexplode(words).alias("wi", "word"))
     w = Window.partitionBy("context").orderBy("wi").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import metrics as M
 from textloom.plans.base import Registry
+from textloom.plans.qa import QUESTIONS_SQL, questions
 from textloom.plans.text_queries import _ANSWER
 from textloom.runtime import table
 
@@ -19,9 +20,8 @@ def _n(c):
 
 
 # questions with golds; the question's first 12 characters stand in for a prediction of every third question, the gold for others
-_Q = f"""t AS (SELECT dump_id, received_at, data FROM (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY received_at DESC) AS rn FROM qa_dump WHERE data IS NOT NULL) WHERE rn = 1),
-a AS (SELECT unnest(data) AS a FROM t), p AS (SELECT unnest(a.paragraphs) AS p FROM a), q AS (SELECT p.context AS context, unnest(p.qas) AS q FROM p),
-qq AS (SELECT q.id AS id, q.question AS question, coalesce(len(q.answers), 0) > 0 AS has, q.answers AS answers, CAST(substr(q.id, 2) AS BIGINT) AS no FROM q WHERE q.id IS NOT NULL),
+_Q = f"""{QUESTIONS_SQL},
+qq AS (SELECT id, question, coalesce(len(answers), 0) > 0 AS has, answers, TRY_CAST(substr(id, 2) AS BIGINT) AS no FROM q),
 pr AS (SELECT *, CASE WHEN no % 3 = 0 THEN substr(question, 1, 12) WHEN no % 7 = 0 THEN '' ELSE coalesce(answers[1].text, 'x') END AS predicted, (no % 101) / 101.0::DOUBLE AS na FROM qq),
 g AS (SELECT id, predicted, unnest(CASE WHEN len(list_filter(answers, lambda x: {_n('x.text')} <> '')) > 0 THEN list_transform(list_filter(answers, lambda x: {_n('x.text')} <> ''), lambda x: x.text) ELSE [''] END) AS gold FROM pr),
 gn AS (SELECT id, {_n('gold')} AS g, {_n("coalesce(predicted, '')")} AS p FROM g),
@@ -32,10 +32,7 @@ ev AS (SELECT pr.id, pr.has, pr.predicted, pr.na, sc.exact, sc.f1 FROM pr JOIN s
 
 
 def _questions(spark, d):
-    w = Window.partitionBy("dump_id").orderBy(F.desc("received_at"))
-    t = table(spark, d, "qa_dump").where("data is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    q = t.select(F.explode("data").alias("a")).select(F.explode("a.paragraphs").alias("p")).select(F.explode("p.qas").alias("q")).select("q.*").where("id is not null")
-    q = q.withColumn("no", F.expr("cast(substring(id, 2) as bigint)")).withColumn("has", F.coalesce(F.size("answers") > 0, F.lit(False)))
+    q = questions(spark, d).withColumn("no", F.expr("try_cast(substring(id, 2) as bigint)")).withColumn("has", F.coalesce(F.size("answers") > 0, F.lit(False)))
     first = F.coalesce(F.get("answers", F.lit(0))["text"], F.lit("x"))
     return q.select("id", "has", "answers", F.when(F.col("no") % 3 == 0, F.substring("question", 1, 12)).when(F.col("no") % 7 == 0, "").otherwise(first).alias("predicted"), (F.col("no") % 101 / 101.0).alias("na"))
 
