@@ -37,3 +37,35 @@ def append_absent(batch: DataFrame, path: str, key: str, order: str) -> int:
     new.write.mode("append").parquet(path)
     new.unpersist()
     return n
+
+
+def dump(df: DataFrame, path: str, kind: str) -> None:
+    """Write rows as text, a row a line: ``json`` objects, ``tsv`` or ``csv`` (with header, nulls empty), or ``html`` table rows (SK5)."""
+    if kind == "json":
+        df.write.mode("overwrite").json(path)
+    elif kind in ("csv", "tsv"):
+        df.write.mode("overwrite").csv(path, sep="," if kind == "csv" else "\t", header=True, escape='"')
+    elif kind == "html":
+        safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        cells = [F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in df.columns]
+        df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(kind)
+
+
+def write_arrays(df: DataFrame, path: str) -> None:
+    """Model-ready rows: arrays stay arrays, in Parquet; a null array is an empty one (SK6)."""
+    cols = [F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema]
+    df.select(*cols).write.mode("overwrite").parquet(path)
+
+
+def reload_unique(df: DataFrame, path: str, key: str) -> None:
+    """Replace a store; rows that share a key, or have none, are refused before anything is written (SK7)."""
+    if not df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} isn't unique")
+    df.write.mode("overwrite").parquet(path)
+
+
+def append_daily(df: DataFrame, path: str, time: str) -> None:
+    """Append events to a tab log with one folder a day (SK10); rows without a time go to the folder of no day."""
+    df.withColumn("day", F.date_format(time, "yyyyMMdd")).write.mode("append").partitionBy("day").csv(path, sep="\t", nullValue="")

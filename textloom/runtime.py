@@ -68,6 +68,15 @@ def touch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> str:
+    """Write one small text file; returns its path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
 #: Scratch paths made so far.
 _MADE: list[str] = []
 

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line of each text file; the order inside a file is the reader's own (SC42, SC38)."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return t.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
+    """file, line_no (from 0), line of each text file, read in splits (SC42, SC38).
+
+    A split's lines are numbered by themselves; the numbers of lines in the splits before it (a row per split) are added.
+    """
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = t.groupBy("file", "split").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = t.withColumn("no", F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) - 1)
+    return own.join(starts, ["file", "split"]).select("file", (F.col("no") + F.col("start")).cast("bigint").alias("line_no"), "line")
 
 
 def page_dump_tuples(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -113,15 +119,38 @@ def corpus_documents(spark: SparkSession, path: str) -> DataFrame:
     return t.groupBy("file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
 
 
-def word_vectors(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """line_no, word, vector of a text of vectors; lines of another dimension than the first are left out (SC40)."""
-    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
+def word_vectors(spark: SparkSession, path: str, most: int | None = None, padding: str | None = None) -> DataFrame:
+    """line_no, word, vector of a text of vectors; lines of another dimension than the first are left out (SC40).
+
+    ``padding``: a word of zeros put before all others, as line -1.
+    """
     f = F.split(F.rtrim("line"), " ")
-    size = t.where("line_no = 0").select(F.size(f).alias("n")).first()["n"]
-    t = t.where(F.size(f) == size)
+    t = numbered_lines(spark, path).where("line <> ''").select("file", "line_no", f.alias("f"))
+    t = t.join(t.where("line_no = 0").select("file", F.size("f").alias("size")), "file").where(F.size("f") == F.col("size"))
     if most is not None:
         t = t.where(F.col("line_no") < most)
-    return t.select("line_no", f[0].alias("word"), F.transform(F.slice(f, 2, size - 1), lambda x: x.cast("double")).alias("vector"))
+    out = t.select("line_no", F.col("f")[0].alias("word"), F.transform(F.slice("f", 2, F.col("size") - 1), lambda x: x.cast("double")).alias("vector"))
+    if padding is not None:
+        zero = t.where("line_no = 0").limit(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit(padding).alias("word"), F.array_repeat(F.lit(0.0), F.col("size") - 1).alias("vector"))
+        out = zero.unionByName(out)
+    return out
+
+
+def labelled_pairs(spark: SparkSession, path: str, columns: tuple[int, int, int], labels: dict[str, int], header: bool = True) -> DataFrame:
+    """line_no, s1, s2, label_id of a tab file; labels as mapped, lines of other labels are left out (SC33, SC34)."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    t = tab_pairs(spark, path, columns, ("s1", "s2", "label"), header)
+    return t.select("line_no", "s1", "s2", F.try_element_at(names, F.col("label")).alias("label_id")).where("label_id is not null")
+
+
+def instances(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """key, tokens, segment_ids, input_mask (both padded with 0 to ``size``), lm_labels (the label where a token is masked, else null), is_next of training instances, a JSON object a line (SC39)."""
+    schema = "key bigint, tokens array<string>, segment_ids array<int>, masked_lm_positions array<int>, masked_lm_labels array<string>, is_random_next boolean"
+    j = spark.read.schema(schema).json(path).where("tokens is not null")
+    pad = lambda c: F.slice(F.concat(c, F.array_repeat(F.lit(0), F.greatest(F.lit(size) - F.size(c), F.lit(0)))), 1, size)
+    at = F.when(F.size("masked_lm_positions") > 0, F.map_from_arrays("masked_lm_positions", "masked_lm_labels"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at(at, i))
+    return j.select("key", F.slice("tokens", 1, size).alias("tokens"), pad(F.col("segment_ids")).alias("segment_ids"), pad(F.transform("tokens", lambda x: F.lit(1))).alias("input_mask"), labels.alias("lm_labels"), (~F.col("is_random_next")).alias("is_next"))
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
