@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.runtime import add_running_sum
+
 from textloom.functions.text import normalize_answer
 
 
@@ -40,33 +42,24 @@ def split_means(df: DataFrame, has_answer: str, scores: list[str]) -> DataFrame:
     return df.groupingSets([[], [has_answer]], has_answer).agg(*aggs)
 
 
-def ranked(df: DataFrame, by: str, key: str) -> tuple[DataFrame, Window]:
-    """A running window over rows in order of a probability; ties by key."""
-    return df, Window.partitionBy(F.lit(1)).orderBy(by, key)
-
-
 def precision_recall(df: DataFrame, key: str, score: str, no_answer: str, has_answer: str) -> DataFrame:
-    """threshold, precision, recall at each distinct no-answer probability (WN7). Sums are taken per probability first, so the running window has one row each."""
+    """threshold, precision, recall and its step at each distinct no-answer probability (WN7). Sums are taken per probability first."""
     per = df.groupBy(no_answer).agg(F.count("*").alias("n"), F.sum(F.when(F.col(has_answer), F.col(score)).otherwise(0.0)).alias("tp"))
-    true = df.agg(F.sum(F.col(has_answer).cast("double")).alias("true"))
-    w = Window.partitionBy(F.lit(1)).orderBy(no_answer).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("seen", F.sum("n").over(w)).withColumn("hits", F.sum("tp").over(w)).join(F.broadcast(true))
-    return run.select(F.col(no_answer).alias("threshold"), (F.col("hits") / F.col("seen")).alias("precision"), F.try_divide("hits", "true").alias("recall"))
+    true = df.agg(F.sum(F.col(has_answer).cast("double")).alias("true"))  # one row
+    run = add_running_sum(per, [no_answer], {"n": "seen", "tp": "hits"}).join(F.broadcast(true))
+    return run.select(F.col(no_answer).alias("threshold"), (F.col("hits") / F.col("seen")).alias("precision"), F.try_divide("hits", "true").alias("recall"), F.try_divide("tp", "true").alias("step"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
     """ap: precision summed over the steps of recall, in percent (WN7)."""
-    w = Window.partitionBy(F.lit(1)).orderBy("threshold")
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return curve.withColumn("part", F.col("precision") * step).agg((100 * F.sum("part")).alias("ap"))
+    return curve.agg((100 * F.sum(F.col("precision") * F.col("step"))).alias("ap"))
 
 
 def best_threshold(df: DataFrame, key: str, score: str, no_answer: str, has_answer: str, predicted: str) -> DataFrame:
     """best (percent) and threshold: the highest running score when answers are given up to a no-answer probability (WN8)."""
     diff = F.when(F.col(has_answer), F.col(score)).when(F.col(predicted) != "", -1.0).otherwise(0.0)
     total = df.agg(F.count("*").alias("total"), F.sum((~F.col(has_answer)).cast("double")).alias("none"))
-    w = Window.partitionBy(F.lit(1)).orderBy(no_answer, key).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("cur", F.sum(diff).over(w)).join(F.broadcast(total)).withColumn("cur", F.col("cur") + F.col("none"))
+    run = add_running_sum(df.withColumn("diff", diff), [no_answer, key], {"diff": "cur"}).join(F.broadcast(total)).withColumn("cur", F.col("cur") + F.col("none"))
     best = run.agg(F.max("cur").alias("cur"), F.max_by(no_answer, F.struct("cur", (-F.col(no_answer)).alias("n"))).alias("at"), F.max("none").alias("none"), F.max("total").alias("total"))
     better = F.col("cur") > F.col("none")
     return best.select((100 * F.greatest("cur", "none") / F.col("total")).alias("best"), F.when(better, F.col("at")).otherwise(0.0).alias("threshold"))

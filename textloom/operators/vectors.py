@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.runtime import add_running_sum
+
 
 def _v(x: Column | str) -> Column:
     return F.transform(F.col(x) if isinstance(x, str) else x, lambda e: e.cast("double"))
@@ -36,31 +38,61 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(_v(a), _v(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 5, block: int = 512) -> DataFrame:
+#: Corpus vectors held at once in a task.
+SLICE = 20_000
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """query, key, cosine, rank of the k nearest corpus rows of each query (JN18, TK4).
 
-    Queries are packed into blocks of ``block`` vectors; every corpus partition meets every block as one matrix product
-    and keeps k of each query, so what is shuffled is k rows a query and partition. A query's own row counts like others;
-    null vectors are left out.
+    The corpus is dealt into slices of about ``SLICE`` vectors, every query is sent to each slice, and a task streams the
+    queries past the slice it holds as matrix products, keeping k of each query; so memory is bounded and what is shuffled
+    last is k rows a query and slice. A query's own row counts like others; null vectors are left out.
     """
     kind = corpus.schema[key].dataType.simpleString()
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), _v(vector).alias("qv"))
-    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(1, -(-q.count() // block)))).alias("b")).agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
-    c = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), _v(vector).alias("cv"))
-    parts = c.withColumn("part", F.spark_partition_id()).groupBy("part", F.pmod(F.xxhash64("key"), F.lit(4)).alias("slice")).agg(F.collect_list(F.struct("key", "cv")).alias("cs"))
+    c = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), _v(vector).alias("v"))
+    slices = max(1, -(-c.count() // SLICE))
+    c = c.select(F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"), "key", "v")
+    q = queries.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"), F.col(key).alias("key"), _v(vector).alias("v"))
+    rows = c.unionByName(q).repartition(slices, "slice").sortWithinPartitions("slice", "asks")
+
+    def matrix(vectors: pa.ListArray) -> np.ndarray:
+        return vectors.flatten().to_numpy().reshape(len(vectors), -1)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held_keys, held, y, keys = None, [], [], None, None
         for b in batches:
-            for qs, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.array([r["qv"] for r in qs])
-                y = np.array([r["cv"] for r in cs])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.nan_to_num((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T, nan=-2.0)
-                keys = np.array([r["key"] for r in cs])
-                rows = [(qs[i]["query"], keys[j].item(), float(s[i, j])) for i in range(len(qs)) for j in np.lexsort((keys, -np.round(s[i], 9)))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["query", key, "cosine"])
-
-    best = packed.select("qs").join(parts.select("cs")).mapInArrow(score, f"query {kind}, `{key}` {kind}, cosine double")
+            where, asks = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if own != where[lo]:
+                    own, held_keys, held, y = where[lo], [], [], None
+                if not asks[lo]:
+                    held_keys.append(part.column(2).to_numpy(zero_copy_only=False))
+                    held.append(matrix(part.column(3)))
+                    continue
+                if not held:
+                    continue
+                if y is None:
+                    y, keys = unit(np.concatenate(held)), np.concatenate(held_keys)
+                    order = np.argsort(keys, kind="stable")
+                    y, keys = y[order], keys[order]
+                for a in range(0, part.num_rows, 512):
+                    some = part.slice(a, 512)
+                    s = np.nan_to_num(unit(matrix(some.column(3))) @ y.T, nan=-2.0)
+                    best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]  # equal ones by key
+                    n = best.shape[1]
+                    asked = some.column(2).take(pa.array(np.repeat(np.arange(some.num_rows), n)))
+                    yield pa.RecordBatch.from_arrays([asked, pa.array(keys[best.ravel()]).cast(asked.type), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query", key, "cosine"])
+
+    best = rows.mapInArrow(score, f"query {kind}, `{key}` {kind}, cosine double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 6)), key)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -78,10 +110,10 @@ def pooled(df: DataFrame, group: str, vector: str, weight: str | None = None) ->
     return d.groupBy(group, "dim").agg((F.sum(F.col("x") * w) / total).alias("mean"), F.max("x").alias("max"), (F.sum(F.col("x") * w) / F.sqrt(total)).alias("mean_sqrt"))
 
 
-def average_rank(c: str) -> Column:
-    """Ranks with ties at their mean, over all rows of the frame (for evaluation sets of a bounded size)."""
-    w = Window.partitionBy(F.lit(1)).orderBy(c)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / F.lit(2.0)
+def with_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of a column's values, ties at their mean; equal values are counted first."""
+    per = add_running_sum(df.groupBy(value).agg(F.count("*").alias("__n")), [value], {"__n": "__upto"})
+    return df.join(per.select(value, (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias(name)), value)
 
 
 def batch_pairs(df: DataFrame, key: str, batch: str, vector: str, label: str) -> DataFrame:

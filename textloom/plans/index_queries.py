@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import index as I
 from textloom.plans.base import C_SQL, S_SQL, TERM_SQL, TOK_SQL, Registry, constraints, sentences, terms, tokens
-from textloom.runtime import add_dense_ids, table
+from textloom.runtime import add_dense_ids, materialize, table
 
 R = Registry()
 TODAY = 20220712
@@ -184,22 +184,6 @@ def sc38_blank_line_blocks(spark, d):
 # --- predicates
 
 
-@R.add(
-    f"""WITH {S_SQL}, {C_SQL}, se AS (SELECT DISTINCT _id, lower(trim(e)) AS kbid FROM (SELECT _id, unnest(entity_set) AS e FROM s) WHERE trim(e) <> ''),
-st AS (SELECT _id, unnest(topic_category) AS topic FROM s)
-SELECT DISTINCT c.constraint_id, s._id FROM c JOIN ce ON ce.constraint_id = c.constraint_id JOIN se ON se.kbid = ce.kbid JOIN s ON s._id = se._id
-WHERE c.constraint_id % {QUERY_STEP} = 0 AND (c.source IS NULL OR lower(trim(s.source)) = c.source) AND (c.category IS NULL OR s.category = c.category)
-AND (NOT EXISTS (SELECT 1 FROM ct WHERE ct.constraint_id = c.constraint_id) OR EXISTS (SELECT 1 FROM ct JOIN st ON st.topic = ct.topic WHERE ct.constraint_id = c.constraint_id AND st._id = s._id))
-AND (c.days_ago IS NULL OR s.news_date >= CAST(strftime(DATE '2022-07-12' - CAST(c.days_ago AS INT), '%Y%m%d') AS INT))
-AND (c.entity_number IS NULL OR s.entity_len >= c.entity_number)
-AND (c.sentence_length_max IS NULL OR c.sentence_length_min IS NULL OR s.sentence_length BETWEEN c.sentence_length_min AND c.sentence_length_max)
-AND (c.sentence_position IS NULL OR s.sentence_position <= c.sentence_position)"""
-)
-def pf01_constraint_search(spark, d):
-    """The stated query set of requests (ids divisible by 20) with entities, as the SQL has it, against all sentences; ``pf01_all_requests`` takes those without entities too."""
-    return I.match_constraints(constraints(spark, d).where((F.col("constraint_id") % QUERY_STEP == 0) & F.col("entity_list").isNotNull()), sentences(spark, d), TODAY)
-
-
 @R.add(
     f"""WITH {S_SQL}, {C_SQL}, se AS (SELECT DISTINCT _id, lower(trim(e)) AS kbid FROM (SELECT _id, unnest(entity_set) AS e FROM s) WHERE trim(e) <> ''),
 st AS (SELECT DISTINCT _id, unnest(topic_category) AS topic FROM s), q AS (SELECT *, constraint_id IN (SELECT constraint_id FROM ce) AS named, constraint_id IN (SELECT constraint_id FROM ct) AS themed FROM c WHERE constraint_id % {QUERY_STEP} = 0),
@@ -214,7 +198,7 @@ AND (q.entity_number IS NULL OR s.entity_len >= q.entity_number)
 AND (q.sentence_length_max IS NULL OR q.sentence_length_min IS NULL OR s.sentence_length BETWEEN q.sentence_length_min AND q.sentence_length_max)
 AND (q.sentence_position IS NULL OR s.sentence_position <= q.sentence_position)"""
 )
-def pf01_all_requests(spark, d):
+def pf01_constraint_search(spark, d):
     """The stated query set of requests (ids divisible by 20), with and without entities, against all sentences."""
     return I.match_constraints(constraints(spark, d).where(F.col("constraint_id") % QUERY_STEP == 0), sentences(spark, d), TODAY)
 
@@ -334,14 +318,15 @@ def _query_terms(spark, d):
 
 
 def _bm25(spark, d):
-    t = terms(spark, d)
-    s = sentences(spark, d)
-    stats = s.agg(F.count("*").alias("n")).first()
-    lengths = t.groupBy(F.col("_id").alias("doc")).agg(F.count("*").alias("length"))
+    """Scores of every query with every sentence it meets. Terms are counted once; only the queries' words get further."""
+    tf = materialize(terms(spark, d).groupBy(F.col("_id").alias("doc"), "word").agg(F.count("*").alias("tf")), "terms")
+    lengths = materialize(tf.groupBy("doc").agg(F.sum("tf").alias("length")), "lengths")
     average = lengths.agg(F.avg("length").alias("a")).first()["a"] or 1.0
-    idfs = I.document_frequencies(t, "_id").select("word", I.idf(stats["n"], "df").alias("idf"))
-    postings = I.term_frequencies(t).withColumnRenamed("_id", "doc")
-    return I.bm25_scores(_query_terms(spark, d), postings, lengths, idfs, average), s
+    n = table(spark, d, "search_sentence").select("_id").distinct().count()
+    q = _query_terms(spark, d)
+    postings = materialize(tf.join(q.select("word").distinct(), "word", "left_semi"), "postings")
+    idfs = postings.groupBy("word").agg(F.count("*").alias("df")).select("word", I.idf(n, "df").alias("idf"))
+    return I.bm25_scores(q, postings, lengths, idfs, average), sentences(spark, d)
 
 
 _BM25 = f"""{TERM_SQL}, n AS (SELECT count(*) AS n FROM s), l AS (SELECT _id, count(*) AS len FROM term GROUP BY 1), a AS (SELECT avg(len) AS a FROM l),

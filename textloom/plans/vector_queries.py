@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import vectors as V
 from textloom.plans.base import TERM_SQL, Registry, terms
-from textloom.runtime import table
+from textloom.runtime import materialize, table
 
 R = Registry()
 _E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -72,7 +72,9 @@ SELECT round(corr(gold, cosine), 6) AS pearson_cosine, round(corr(gold, l1), 6)
 )
 def ag29_correlations(spark, d):
     p = _pairs(spark, d).withColumn("gold", F.col("same").cast("int").cast("double"))
-    p = p.withColumn("rg", V.average_rank("gold")).withColumn("rc", V.average_rank("cosine")).withColumn("rl", V.average_rank("l2"))
+    p = materialize(p, "pairs")
+    for value, name in (("gold", "rg"), ("cosine", "rc"), ("l2", "rl")):
+        p = V.with_average_rank(p, value, name)
     c = lambda a, b, n: F.round(F.corr(a, b), 6).alias(n)
     return p.agg(c("gold", "cosine", "pearson_cosine"), c("gold", "l1", "pearson_l1"), c("gold", "l2", "pearson_l2"), c("gold", "dot", "pearson_dot"), c("rg", "rc", "spearman_cosine"), c("rg", "rl", "spearman_l2"))
 
