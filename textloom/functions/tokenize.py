@@ -149,19 +149,63 @@ class Dictionary:
         return out
 
 
-def dictionary_matches(df: DataFrame, key: str, text: str, weights: dict[str, float]) -> DataFrame:
-    """key, begin, end, word of every match of a bounded dictionary in each text."""
+#: Characters of words in one automaton.
+SHARD_CHARS = 1_000_000
+
+
+def dictionary_matches(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """key, begin, end, word of every match of a dictionary (column word, distinct) in each text.
+
+    Words are dealt into shards of about ``SHARD_CHARS`` characters, texts are sent to each shard, and tasks stream them
+    through the automaton of theirs. Null texts, and null and empty words, match nothing; keys may repeat.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    words = words.where("word <> ''").select("word").distinct()
+    shards = max(1, -(-(words.agg(F.sum(F.length("word")).alias("n")).first()["n"] or 0) // SHARD_CHARS))
+    parts = 1 if shards > 1 else 16  # one automaton: texts are dealt instead, so that tasks are several
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    w = words.select(F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast(kind).alias("key"), F.col("word").alias("text"), F.lit(False).alias("searched"))
+    t = df.where(F.col(text).isNotNull()).select(dealt.alias("shard"), F.pmod(F.xxhash64(text), F.lit(parts)).cast("int").alias("part"), F.col(key).alias("key"), F.col(text).alias("text"), F.lit(True).alias("searched"))
+    rows = w.unionByName(t).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "searched")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, auto = None, None
+        for b in batches:
+            keys: list[int] = []
+            found: list[tuple[int, int, str]] = []
+            for i, (shard, part, text, searched) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
+                if group != (shard, part):
+                    group, auto = (shard, part), ahocorasick.Automaton()
+                if not searched:
+                    auto.add_word(text, text)
+                elif len(auto):
+                    if auto.kind != ahocorasick.AHOCORASICK:
+                        auto.make_automaton()
+                    got = [(e + 1 - len(x), e + 1, x) for e, x in auto.iter(text)]
+                    keys.extend([i] * len(got))
+                    found.extend(got)
+            if keys:
+                cols = list(zip(*found))
+                yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(keys)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=[key, "begin", "end", "word"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, begin bigint, end bigint, word string")
+
+
+def weighted_segments(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """``df`` with pieces (array<string>): the dictionary words (word, weight) on the best path through each text (ST29). ``key`` is unique.
+
+    Each text is cut with the words found in it, so no task holds the dictionary.
+    """
     kind = df.schema[key].dataType.simpleString()
+    own = dictionary_matches(df, key, text, words).select(key, "word").distinct().join(words, "word").groupBy(key).agg(F.collect_list(F.struct("word", "weight")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Dictionary(weights)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(k, *m) for k, t in zip(keys, texts) for m in d.matches(t)]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema[0].type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=[key, "begin", "end", "word"])
+            pieces = [Dictionary({w["word"]: w["weight"] for w in ws}).segments(t) for t, ws in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.list_(pa.string()))], names=[key, "pieces"])
 
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, begin bigint, end bigint, word string")
+    made = df.select(key, text).join(own, key).mapInArrow(run, f"`{key}` {kind}, pieces array<string>")
+    return df.join(made, key, "left").withColumn("pieces", F.coalesce("pieces", F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))))
 
 
 def vocabulary_ids(text: str, ids: dict[str, int], stop: frozenset[str]) -> list[int]:

@@ -10,10 +10,10 @@ from textloom.functions import wiki as W
 from textloom.operators import dialog as D
 from textloom.operators import linking as L
 from textloom.plans import session_queries as SQ
-from textloom.plans.base import C_SQL, S_SQL, TERM_SQL, TOK_SQL, Registry, sentences, tokens
+from textloom.plans.base import C_SQL, S_SQL, TERM_SQL, TOK_SQL, Registry, sentences, terms, tokens
 from textloom.plans.linking_queries import _T as TRIPLES_SQL
 from textloom.plans.linking_queries import _popular, triples
-from textloom.runtime import materialize, table
+from textloom.runtime import add_dense_ids, materialize, table
 
 R = Registry()
 
@@ -31,7 +31,7 @@ def st14_basic_tokens(spark, d):
 @R.add()
 def st15_word_pieces(spark, d):
     """Titles in pieces of a vocabulary of single letters and the most frequent pairs of letters."""
-    letters = tokens(spark, d).where("word is not null").select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().limit(20_000)
+    letters = tokens(spark, d).where("word is not null").select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct()
     pairs = tokens(spark, d).where("length(word) >= 2").groupBy(F.substring("word", 1, 2).alias("c")).count().orderBy(F.desc("count"), "c").limit(2_000).select("c")
     units = [r["c"] for r in letters.unionByName(pairs).collect()]
     vocabulary = frozenset(units) | frozenset("##" + u for u in units)
@@ -49,19 +49,17 @@ def st16_merged_pairs(spark, d):
     return K.tokenise_distinct(_words(spark, d), "doc_id", "word", lambda w: K.merged_pairs(list(w.lower()), ranks))
 
 
-_TOP = f"{TERM_SQL}, v AS (SELECT word, count(*) AS n FROM term WHERE length(word) >= 4 GROUP BY word ORDER BY n DESC, word LIMIT 200)"
+_WORDS = f"{TERM_SQL}, v AS (SELECT word, count(*) AS n FROM term WHERE length(word) >= 4 GROUP BY word)"
 
 
 def _dictionary(spark, d):
-    from textloom.plans.base import terms
+    """word, weight: every stored word of four or more letters."""
+    return terms(spark, d).where("length(word) >= 4").select("word").distinct().withColumn("weight", F.lit(1.0))
 
-    top = terms(spark, d).where("length(word) >= 4").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(200)
-    return {r["word"]: 1.0 for r in top.collect()}
 
-
-@R.add(f"WITH {_TOP}, t AS (SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, word, CAST(((length(text) - length(replace(text, word, ''))) / length(word)) AS BIGINT) AS n FROM t JOIN v ON contains(text, word)")
+@R.add(f"WITH {_WORDS}, t AS (SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, word, len(list_filter(range(1, CAST(length(text) AS BIGINT) + 1), lambda i: substr(text, i, length(word)) = word)) AS n FROM t JOIN v ON contains(text, word)")
 def jn23_dictionary_matches(spark, d):
-    """How often each of 200 words stands in each text, by one automaton."""
+    """How often each stored word stands in each text, overlaps counted, by automata in shards."""
     t = table(spark, d, "documents").where("text is not null").select("doc_id", F.lower("text").alias("text"))
     m = K.dictionary_matches(t, "doc_id", "text", _dictionary(spark, d))
     return m.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
@@ -69,35 +67,18 @@ def jn23_dictionary_matches(spark, d):
 
 @R.add()
 def st29_weighted_segments(spark, d):
-    """Dictionary words on the best path through each title."""
-    words = _dictionary(spark, d)
+    """Stored words on the best path through each title."""
     t = table(spark, d, "documents").where("title is not null").select("doc_id", F.lower("title").alias("title"))
-    return K.tokenise_distinct(t, "doc_id", "title", _Segments(words))
-
-
-class _Segments:
-    """A dictionary built where it is used."""
-
-    def __init__(self, words: dict[str, float]) -> None:
-        self.words, self.made = words, None
-
-    def __getstate__(self):
-        return {"words": self.words, "made": None}
-
-    def __call__(self, text: str) -> list[str]:
-        if self.made is None:
-            self.made = K.Dictionary(self.words)
-        return self.made.segments(text)
+    return K.weighted_segments(t, "doc_id", "title", _dictionary(spark, d))
 
 
-@R.add(f"WITH {_TOP}, ids AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM v), t AS (SELECT doc_id, unnest(string_split(title, ' ')) AS w, unnest(range(len(string_split(title, ' ')))) AS i FROM documents WHERE title IS NOT NULL) SELECT doc_id, i, coalesce(a.id, b.id) AS id FROM t LEFT JOIN ids a ON a.word = w LEFT JOIN ids b ON b.word = lower(w) WHERE coalesce(a.id, b.id) IS NOT NULL")
+@R.add(f"WITH {TERM_SQL}, ids AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT word FROM term)), t AS (SELECT doc_id, unnest(string_split(title, ' ')) AS w, unnest(range(len(string_split(title, ' ')))) AS i FROM documents WHERE title IS NOT NULL) SELECT doc_id, i, coalesce(a.id, b.id) AS id FROM t LEFT JOIN ids a ON a.word = w LEFT JOIN ids b ON b.word = lower(w) WHERE coalesce(a.id, b.id) IS NOT NULL")
 def st24_vocabulary_ids(spark, d):
-    """Known words of titles as ids; others are left out."""
-    words = sorted(_dictionary(spark, d))
-    ids = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, id long")
+    """Words of titles as ids of all stored words; others are left out."""
+    ids = materialize(add_dense_ids(terms(spark, d).select("word").distinct(), ["word"], "id", 1), "ids")
     t = table(spark, d, "documents").where("title is not null").select("doc_id", F.posexplode(F.split("title", " ")).alias("i", "w"))
-    j = t.join(F.broadcast(ids.withColumnRenamed("id", "a")), F.col("word") == F.col("w"), "left").drop("word")
-    j = j.join(F.broadcast(ids.withColumnRenamed("id", "b")), F.col("word") == F.lower("w"), "left")
+    j = t.join(ids.select(F.col("word").alias("w"), F.col("id").alias("a")), "w", "left").withColumn("low", F.lower("w"))
+    j = j.join(ids.select(F.col("word").alias("low"), F.col("id").alias("b")), "low", "left")
     return j.select("doc_id", F.col("i").cast("bigint").alias("i"), F.coalesce("a", "b").alias("id")).where("id is not null")
 
 
@@ -230,7 +211,7 @@ def tk11_first_aliases(spark, d):
 @R.add()
 def ml01_linear_machines(spark, d):
     """Document language by word n-grams and linear machines, fitted on even ids and applied to all."""
-    rows = table(spark, d, "documents").where("title is not null and lang in ('en', 'de', 'ru')").select("doc_id", "title", "lang")
+    rows = table(spark, d, "documents").where("title is not null and lang is not null").select("doc_id", "title", "lang")
     model = D.act_classifier(rows.where("doc_id % 2 = 0"), "title", "lang", 1 << 12)
     out = model.transform(rows)
     labels = model.stages[-2].labels
