@@ -127,3 +127,42 @@ def learning_rate(step: Column, kind: str, warmup: int, total: int, cycles: floa
 def log_uniform(rank: Column, size: int) -> Column:
     """Probability of the token of this rank under a log-uniform sampler (MA10)."""
     return F.ln((rank + 2) / (rank + 1)) / F.ln(F.lit(float(size + 1)))
+
+
+def choice_features(df: DataFrame, key: str, context: str, start: str, endings: str, size: int) -> DataFrame:
+    """key, choice, tokens (with [CLS] and [SEP]), segment_ids, input_mask (padded with 0 to ``size``): one row a choice (AR5).
+
+    The context and the start with an ending are token arrays; the pair is cut to fit, always the longer one, of equal
+    ones the second. A null ending has no row, a null context or start is empty.
+    """
+    empty = F.array().cast("array<string>")
+    d = df.select(key, F.coalesce(context, empty).alias("c"), F.coalesce(start, empty).alias("s"), F.posexplode(endings).alias("choice", "e")).where("e is not null")
+    d = d.withColumn("e", F.concat("s", "e"))
+    lc, le = truncated_sizes(F.size("c"), F.size("e"), size - 3)
+    d = d.withColumn("lc", lc).withColumn("le", le)
+    word = lambda w: F.array(F.lit(w))
+    tokens = F.concat(word("[CLS]"), F.slice("c", F.lit(1), F.col("lc")), word("[SEP]"), F.slice("e", F.lit(1), F.col("le")), word("[SEP]"))
+    rest = F.lit(size) - F.col("lc") - F.col("le") - 3
+    ones = lambda n: F.array_repeat(F.lit(1), n)
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    return d.select(key, "choice", tokens.alias("tokens"), F.concat(zeros(F.col("lc") + 2), ones(F.col("le") + 1), zeros(rest)).alias("segment_ids"), F.concat(ones(F.col("lc") + F.col("le") + 3), zeros(rest)).alias("input_mask"))
+
+
+def span_features(df: DataFrame, key: str, query: str, doc: str, first: str, last: str, size: int, stride: int, most_query: int) -> DataFrame:
+    """key, span, start, tokens, p_mask (0 where an answer may stand), begin_at, end_at: a row per window of a text (AR4).
+
+    ``query`` and ``doc`` are token arrays, ``first`` and ``last`` the answer's tokens in the text. A window reads
+    [CLS] query [SEP] window [SEP]; labels are places in it, 0 (the head) where it doesn't hold the whole answer or there
+    is none. A text without tokens has no window.
+    """
+    q = F.slice(F.coalesce(F.col(query), F.array().cast("array<string>")), 1, most_query)
+    d = df.where(F.size(doc) > 0).withColumn("__q", q).withColumn("__w", F.lit(size) - F.size("__q") - 3)
+    n = F.size(doc)
+    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda s: (s == 0) | (s - stride + F.col("__w") < n))
+    d = d.select("*", F.posexplode(starts).alias("span", "start")).withColumn("__n", F.least("__w", n - F.col("start")))
+    word = lambda w: F.array(F.lit(w))
+    tokens = F.concat(word("[CLS]"), "__q", word("[SEP]"), F.slice(doc, F.col("start") + 1, F.col("__n")), word("[SEP]"))
+    mask = F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), F.size("__q") + 1), F.array_repeat(F.lit(0), F.col("__n")), F.array(F.lit(1)))
+    held = (F.col(first) >= F.col("start")) & (F.col(last) < F.col("start") + F.col("__n"))
+    at = lambda c: F.when(held, F.col(c) - F.col("start") + F.size("__q") + 2).otherwise(0).cast("bigint")
+    return d.select(key, "span", "start", tokens.alias("tokens"), mask.alias("p_mask"), at(first).alias("begin_at"), at(last).alias("end_at"))

@@ -120,11 +120,17 @@ def majority(votes: DataFrame, key: str, label: str) -> DataFrame:
     return r.where((F.col("rn") == 1) & (F.col("next").isNull() | (F.col("votes") > F.col("next")))).select(key, label, "votes")
 
 
-def knn_votes(scored: DataFrame, k: int = 5, least: float = 1.5) -> DataFrame:
-    """query, label, n, mean: of the k best samples, labels with more than one, the best mean above a bound (AG20)."""
+def knn_votes(scored: DataFrame, k: int = 5, least: float = 1.5, agrees: Column | None = None) -> DataFrame:
+    """query, label, n, mean: of the k best samples, labels with more than one, the best mean above a bound (AG20).
+
+    ``agrees``: a condition on query and label that the label taken must meet (agreement of negation); the next best one
+    is taken where it doesn't.
+    """
     w = Window.partitionBy("query").orderBy(F.desc("score"), "sample")
     near = scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     v = near.groupBy("query", "label").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).where("n > 1")
+    if agrees is not None:
+        v = v.where(agrees)
     b = Window.partitionBy("query").orderBy(F.desc("mean"), "label")
     return v.withColumn("rn", F.row_number().over(b)).where((F.col("rn") == 1) & (F.col("mean") >= least)).drop("rn")
 

@@ -181,10 +181,3 @@ def cs06_without_punctuation(spark, d):
 @R.add("SELECT source, kept AS doc_id FROM (SELECT source, min(doc_id) AS kept FROM documents WHERE source IS NOT NULL GROUP BY source)")
 def cs07_first_wins(spark, d):
     return table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-
-
-@R.add("SELECT source, CAST(sum(n_chars) OVER (ORDER BY source) AS BIGINT) AS upto FROM (SELECT source, sum(n_chars) AS n_chars FROM documents WHERE source IS NOT NULL GROUP BY source)")
-def wn18_running_lengths(spark, d):
-    s = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.sum("n_chars").alias("n"))
-    w = Window.partitionBy(F.lit(1)).orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select("source", F.sum("n").over(w).alias("upto"))  # a row per source

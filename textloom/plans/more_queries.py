@@ -15,13 +15,6 @@ from textloom.runtime import table
 R = Registry()
 
 
-@R.add("SELECT DISTINCT kbid, name, substr(name, 1, 1) = '《' AS marked FROM (SELECT kbid, unnest(names) AS name FROM kg_entity) WHERE name <> ''")
-def pf11_title_signs(spark, d):
-    """Whether a name stands behind 《, as titles of works must."""
-    n = table(spark, d, "kg_entity").select("kbid", F.explode("names").alias("name")).where("name <> ''")
-    return n.select("kbid", "name", (F.substring("name", 1, 1) == "《").alias("marked")).distinct()
-
-
 @R.add(f"WITH {_BIO}, m AS (SELECT _id, min(pos_no) AS b, max(pos_no) + 1 AS e FROM b3 WHERE h IN ('B', 'I', 'E', 'S') GROUP BY _id, island) SELECT _id, b, e, b >= 2 AND e <= 12 AS inside, b < 12 AND 2 < e AS overlaps FROM m")
 def pf12_span_relations(spark, d):
     """How mentions stand to the span [2, 12)."""
@@ -93,13 +86,6 @@ def ma01_pair_similarity(spark, d):
     return bm25_scores(q, tf, lengths, idfs, 2.0).withColumn("score", F.round("score", 6))
 
 
-@R.add("SELECT label, count(*) AS vectors, min(vec_id) AS one FROM embeddings WHERE label IN (1, 3, 5) GROUP BY label")
-def jn26_typed_candidates(spark, d):
-    """Candidates of the required types, one of each by least id."""
-    want = spark.createDataFrame([(1,), (3,), (5,)], "label int")  # three types
-    return table(spark, d, "embeddings").join(F.broadcast(want), "label", "left_semi").groupBy("label").agg(F.count("*").alias("vectors"), F.min("vec_id").alias("one"))
-
-
 @R.add("""SELECT doc_id, len(list_filter(regexp_extract_all(text, '[a-zA-Z0-9'' !"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]+'), lambda x: length(x) > 1 OR x = ' ')) AS runs FROM documents WHERE text IS NOT NULL""")
 def st20_ascii_runs(spark, d):
     r = F.regexp_extract_all("text", F.lit(r"""[a-zA-Z0-9' !"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""), F.lit(0))
@@ -136,13 +122,6 @@ def st43_question_features(spark, d):
     return s.select("_id", F.col("raw_sentence").rlike("[?？؟]").alias("mark"), F.col("raw_sentence").contains("还是").alias("alternative"), F.col("raw_sentence").contains("是").alias("copula"))
 
 
-@R.add()
-def st44_a_not_a(spark, d):
-    """Patterns of the form A 不 A, by back-reference."""
-    s = sentences(spark, d)
-    return s.select("_id", F.nullif(F.regexp_extract("raw_sentence", r"(\p{IsHan}{1,2})不\1", 0), F.lit("")).alias("pattern")).where("pattern is not null")
-
-
 @R.add(f"WITH {S_SQL}, n AS (SELECT _id, least(len(tokens), 12) AS la, least(len(tokens), 9) AS lb FROM s WHERE len(tokens) > 0) SELECT _id, CASE WHEN la + lb > 16 THEN 16 ELSE la + lb END AS total FROM n")
 def ar03_bounded_pairs(spark, d):
     """Pairs cut from hashed ends until they fit: only the size is fixed by the rule."""
@@ -151,23 +130,6 @@ def ar03_bounded_pairs(spark, d):
     return n.select("_id", (x + y).cast("bigint").alias("total"))
 
 
-@R.add(f"WITH {S_SQL}, n AS (SELECT _id, len(tokens) AS n FROM s WHERE len(tokens) > 0), sp AS (SELECT _id, start, least(16, n - start) AS size FROM (SELECT _id, n, unnest(range(0, n, 8)) AS start FROM n) WHERE start = 0 OR start - 8 + 16 < n) SELECT _id, start, CASE WHEN start <= 4 AND 9 <= start + size THEN 4 - start + 2 ELSE 0 END AS begin_at, CASE WHEN start <= 4 AND 9 <= start + size THEN 8 - start + 2 ELSE 0 END AS end_at FROM sp")
-def ar04_span_labels(spark, d):
-    """Where the tokens 4 to 8 stand in each window behind a two-token head; 0 where the window doesn't hold them whole."""
-    s = sentences(spark, d).where("size(tokens) > 0").select("_id", F.explode(X.doc_spans(F.size("tokens"), 16, 8)).alias("x")).select("_id", "x.start", "x.size")
-    held = (F.col("start") <= 4) & (F.col("start") + F.col("size") >= 9)
-    at = lambda i: F.when(held, F.lit(i) - F.col("start") + 2).otherwise(0).cast("bigint")
-    return s.select("_id", F.col("start").cast("bigint").alias("start"), at(4).alias("begin_at"), at(8).alias("end_at"))
-
-
-@R.add("SELECT dump_id, version, n, i AS choice FROM (SELECT dump_id, version, len(data) AS n, row_number() OVER (PARTITION BY dump_id ORDER BY received_at DESC) AS rn FROM qa_dump) q, (VALUES (0), (1), (2), (3)) c(i) WHERE rn = 1")
-def ar05_choices(spark, d):
-    """Every record beside each of its four choices."""
-    w = Window.partitionBy("dump_id").orderBy(F.desc("received_at"))
-    q = table(spark, d, "qa_dump").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return q.select("dump_id", "version", F.when(F.col("data").isNotNull(), F.size("data").cast("bigint")).alias("n"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("choice"))
-
-
 @R.add("SELECT mention, kbid, round((1.0::DOUBLE / popular) / sum(1.0::DOUBLE / popular) OVER (PARTITION BY mention), 6) AS share FROM (SELECT DISTINCT lower(trim(n)) AS mention, kbid, popular FROM (SELECT kbid, popular, unnest(names) AS n FROM kg_entity) WHERE popular > 0 AND trim(n) <> '')")
 def ag15_reciprocal_shares(spark, d):
     e = table(spark, d, "kg_entity").where("popular > 0").select("kbid", "popular", F.explode("names").alias("n"))

@@ -38,13 +38,14 @@ def tk04_nearest(spark, d):
     return V.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").select("query", "vec_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@R.add(f"WITH {_E}, s AS (SELECT q.vec_id AS query, c.vec_id, c.label, round(list_cosine_similarity(q.v, c.v), 6) AS cosine FROM e q, e c WHERE q.vec_id % 20 = 0), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 5), v AS (SELECT query, label, count(*) AS n, avg(cosine) AS mean FROM k GROUP BY ALL HAVING count(*) > 1) SELECT query, label, n, round(mean, 5) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mean DESC, label) AS rn FROM v) WHERE rn = 1 AND mean >= 0.2")
+@R.add(f"WITH {_E}, s AS (SELECT q.vec_id AS query, c.vec_id, c.label, round(list_cosine_similarity(q.v, c.v), 6) AS cosine FROM e q, e c WHERE q.vec_id % 20 = 0), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 5), v AS (SELECT query, label, count(*) AS n, avg(cosine) AS mean FROM k GROUP BY ALL HAVING count(*) > 1 AND (query % 3 <> 0 OR label % 2 = 0)) SELECT query, label, n, round(mean, 5) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mean DESC, label) AS rn FROM v) WHERE rn = 1 AND mean >= 0.2")
 def ag20_knn_vote(spark, d):
+    """Queries divisible by three count as negated and odd labels as not: those don't agree."""
     from textloom.operators.linking import knn_votes
 
     e = _emb(spark, d)
     s = V.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id")
-    return knn_votes(s.select("query", F.col("vec_id").alias("sample"), "label", F.round("cosine", 6).alias("score")), 5, 0.2).withColumn("mean", F.round("mean", 5))
+    return knn_votes(s.select("query", F.col("vec_id").alias("sample"), "label", F.round("cosine", 6).alias("score")), 5, 0.2, (F.col("query") % 3 != 0) | (F.col("label") % 2 == 0)).withColumn("mean", F.round("mean", 5))
 
 
 @R.add(f"WITH {TERM_SQL} SELECT docid, word, CAST(count(*) AS DOUBLE) AS weight FROM term GROUP BY ALL")
