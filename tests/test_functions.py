@@ -264,3 +264,74 @@ def test_dense_ids_and_scratch(spark):
     assert os.path.isdir(path)
     runtime.clear_scratch(spark)
     assert not os.path.isdir(path)
+
+
+def test_dictionary_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_CHARS", 8)
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(30)})
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 40))) for _ in range(25)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("word", F.lit("x"))
+    known = spark.createDataFrame([(w, float(len(w))) for w in words] + [(None, 1.0), ("", 1.0)], "word string, weight double")
+    want = sorted((k, i, i + len(w), w) for k, t in enumerate(texts) if t for w in words for i in range(len(t)) if t.startswith(w, i))
+    assert sorted(tuple(r) for r in K.dictionary_matches(df, "k", "text", known).collect()) == want
+    d = K.Dictionary({w: float(len(w)) for w in words})
+    got = {r["k"]: r["pieces"] for r in K.weighted_segments(df, "k", "text", known).collect()}
+    assert got == {k: None if t is None else d.segments(t) for k, t in enumerate(texts)}
+    assert K.dictionary_matches(df, "k", "text", known.limit(0)).collect() == []
+
+
+def test_running_sums_and_lines(spark, tmp_path):
+    from textloom.runtime import add_running_sum
+
+    rows = [(i % 7, i, float(i) if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, x double")
+    total, want = 0.0, []
+    for a, b, x in sorted(rows):
+        total += x or 0.0
+        want.append((a, b, total))
+    assert sorted(tuple(r) for r in add_running_sum(df, ["a", "b"], {"x": "upto"}).select("a", "b", "upto").collect()) == want
+    assert add_running_sum(df.limit(0), ["a"], {"x": "upto"}).collect() == []
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "t.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "t.txt")).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["line_no"], r["line"]) for r in got] == list(enumerate(lines))
+
+
+def test_choice_and_span_features(spark):
+    from textloom.operators import features as X
+
+    df = spark.createDataFrame([(1, list("abcdefgh"), ["s"], [["e"], None, ["e", "f", "g"]]), (2, None, None, [["x"]]), (3, ["a"], ["b"], None)], "k int, c array<string>, s array<string>, e array<array<string>>")
+    got = {(r["k"], r["choice"]): r for r in X.choice_features(df, "k", "c", "s", "e", 10).collect()}
+    assert set(got) == {(1, 0), (1, 2), (2, 0)}
+    assert got[1, 0]["tokens"] == ["[CLS]", *"abcde", "[SEP]", "s", "e", "[SEP]"] and got[1, 0]["segment_ids"] == [0] * 7 + [1] * 3
+    assert got[1, 2]["tokens"] == ["[CLS]", *"abcd", "[SEP]", "s", "e", "f", "[SEP]"]
+    assert got[2, 0]["tokens"] == ["[CLS]", "[SEP]", "x", "[SEP]"] and got[2, 0]["input_mask"] == [1] * 4 + [0] * 6
+    df = spark.createDataFrame([(1, ["q", "r"], list("abcdefghij"), 4, 5), (2, None, list("abc"), None, None), (3, ["q"], [], 0, 0)], "k int, q array<string>, d array<string>, f int, l int")
+    rows = sorted(X.span_features(df, "k", "q", "d", "f", "l", 10, 3, 8).collect(), key=lambda r: (r["k"], r["span"]))
+    assert [(r["k"], r["start"], r["begin_at"], r["end_at"]) for r in rows] == [(1, 0, 0, 0), (1, 3, 5, 6), (1, 6, 0, 0), (2, 0, 0, 0)]
+    assert rows[1]["tokens"] == ["[CLS]", "q", "r", "[SEP]", *"defgh", "[SEP]"] and rows[1]["p_mask"] == [0, 1, 1, 1, 0, 0, 0, 0, 0, 1]
+
+
+def test_nearest_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    from textloom.operators import vectors as V
+
+    monkeypatch.setattr(V, "SLICE", 40)
+    x = np.random.default_rng(3).normal(size=(200, 8))
+    x[7] = x[9]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(200)] + [(900, None)], "k long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 200, 20):
+        s = np.round(u @ u[q], 6)
+        want |= {(q, int(j), r + 1) for r, j in enumerate(sorted(range(200), key=lambda j: (-s[j], j))[:5])}
+    got = {(r["query"], r["k"], r["rank"]) for r in V.nearest(df.where("k % 20 = 0"), df, "k", "v").collect()}
+    assert got == want
+    plan = V.nearest(df, df, "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -50,8 +50,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*[df[c] for c in columns]).collect()) if name in registry.ORACLE else [], key=key)
     if name not in registry.ORACLE:
-        assert df.columns
-        df.limit(1).collect()
+        assert df.columns and df.limit(1).collect()
         return
     cur = duck.execute(registry.ORACLE[name])
     names = [c[0] for c in cur.description]

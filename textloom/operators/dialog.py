@@ -142,3 +142,18 @@ def filled_slots(template: Column, slots: dict[str, Column]) -> Column:
     for name, c in slots.items():
         template = F.when(c.isNotNull(), F.replace(template, F.lit(f"<{name}>"), c)).otherwise(template)
     return template
+
+
+def intent_execution(requests: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
+    """constraint_id, entity, sentence, answer of each request (DL4). ``requests``: constraint_id, entity; ``rows``: entity, _id, news_date.
+
+    The sentence is one of the entity's ``most`` newest, told by the request's number; ``answer`` is search, sorry where
+    the entity has no sentence, or general where there is no entity.
+    """
+    newest = Window.partitionBy("entity").orderBy(F.desc_nulls_last("news_date"), "_id")
+    n = rows.groupBy("entity").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+    top = rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= most).join(n, "entity").select("entity", F.col("_id").alias("sentence"), "rn", "n")
+    j = requests.join(n, "entity", "left").withColumn("rn", F.col("constraint_id") % F.col("n") + 1).drop("n")
+    j = j.join(top.drop("n"), ["entity", "rn"], "left")
+    answer = F.when(F.col("entity").isNull(), "general").when(F.col("sentence").isNull(), "sorry").otherwise("search")
+    return j.select("constraint_id", "entity", "sentence", answer.alias("answer"))

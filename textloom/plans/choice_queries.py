@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.operators import dialog as D
 from textloom.operators import features as X
 from textloom.operators import linking as L
-from textloom.plans.base import C_SQL, S_SQL, TERM_SQL, Registry, constraints, terms, tokens
+from textloom.plans.base import C_SQL, S_SQL, TERM_SQL, Registry, constraints, sentences, terms, tokens
 from textloom.plans.more_queries import _BIO
 from textloom.plans.qa import QUESTIONS_SQL, questions
 from textloom.runtime import add_running_sum, table
@@ -57,13 +58,42 @@ def pf11_title_signs(spark, d):
     return m.join(before, ["_id", "b"], "left").select("_id", F.col("b").cast("bigint").alias("b"), F.coalesce(F.col("sign") == "《", F.lit(False)).alias("marked"))
 
 
-@R.add("WITH t AS (SELECT doc_id, list_filter(string_split(title, ' '), lambda x: x <> '') AS w FROM documents WHERE title IS NOT NULL) SELECT doc_id, '会不会' AS pattern, w[1] AS rest FROM t WHERE len(w) > 0")
+@R.add(f"WITH {S_SQL}, m AS (SELECT _id, regexp_extract(raw_sentence, '(.)[不没木|](.)') AS pattern FROM s) SELECT _id, pattern FROM m WHERE pattern <> ''")
 def st44_a_not_a(spark, d):
-    """Yes-no questions made of titles: the A-not-A form is found by back-reference, the word behind it kept."""
-    t = table(spark, d, "documents").where("title is not null").select("doc_id", F.filter(F.split("title", " "), lambda x: x != "").alias("w")).where(F.size("w") > 0)
-    asked = F.concat(F.lit("你会不会"), F.col("w")[0], F.lit("?"))
-    p = r"(\p{IsHan}{1,2})不\1(.*)\?$"
-    return t.select("doc_id", F.concat(F.regexp_extract(asked, p, 1), F.lit("不"), F.regexp_extract(asked, p, 1)).alias("pattern"), F.regexp_extract(asked, p, 2).alias("rest"))
+    """The sign of a yes-no question's A-not-A form with its neighbours, the first in each sentence."""
+    found = F.regexp_extract("raw_sentence", r"(.)[不没木|](.)", 0)
+    return sentences(spark, d).select("_id", found.alias("pattern")).where("pattern <> ''")
+
+
+@R.add()
+def ml02_question_types(spark, d):
+    """Question types: rows labelled by their signs, a classifier of first and last words fitted on half of them and applied to all."""
+    t = tokens(spark, d).where("word is not null and word <> ''").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos_no", "word"))).alias("r"))
+    words = F.transform("r", lambda x: x["word"])
+    place = lambda xs, mark: F.transform(xs, lambda x, i: F.concat(F.lit(mark), i.cast("string"), F.lit("="), x))
+    text = F.array_join(F.concat(place(F.slice(words, 1, 3), "first"), place(F.reverse(F.slice(F.reverse(words), 1, 3)), "last"), words), " ")
+    raw = F.col("raw_sentence")
+    label = F.when(raw.rlike(r"还是| or "), "alternative").when(raw.rlike(r"[什谁哪何几]|(?i)\b(what|who|when|where|why|how)\b"), "open").when(raw.rlike("[?？؟]"), "yes-no").otherwise("none")
+    rows = sentences(spark, d).where("raw_sentence is not null").select("_id", label.alias("label")).join(t.select("_id", text.alias("text")), "_id")
+    half = F.pmod(F.xxhash64("_id"), F.lit(2)) == 0
+    model = D.act_classifier(rows.where(half), "text", "label", 1 << 12)
+    names = F.array(*[F.lit(x) for x in model.stages[-2].labels])
+    return model.transform(rows).select("_id", "label", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+
+
+_DL4 = f"""{S_SQL}, {C_SQL}, e1 AS (SELECT constraint_id, list(kbid ORDER BY kbid) AS es FROM ce GROUP BY 1), e2 AS (SELECT c.constraint_id, es[CAST(c.constraint_id % len(es) AS INT) + 1] AS entity FROM c LEFT JOIN e1 USING (constraint_id) WHERE c.constraint_id % 20 = 0),
+se AS (SELECT DISTINCT _id, lower(trim(e)) AS kbid FROM (SELECT _id, unnest(entity_set) AS e FROM s) WHERE trim(e) <> ''),
+top AS (SELECT kbid, _id, rn, least(n, 3) AS n FROM (SELECT kbid, se._id, row_number() OVER (PARTITION BY kbid ORDER BY news_date DESC NULLS LAST, se._id) AS rn, count(*) OVER (PARTITION BY kbid) AS n FROM se JOIN s ON s._id = se._id) WHERE rn <= 3)"""
+
+
+@R.add(f"WITH {_DL4} SELECT constraint_id, entity, _id AS sentence, CASE WHEN entity IS NULL THEN 'general' WHEN _id IS NULL THEN 'sorry' ELSE 'search' END AS answer FROM e2 LEFT JOIN top ON top.kbid = entity AND rn = constraint_id % n + 1")
+def dl04_intent_execution(spark, d):
+    """One entity of each request of the stated query set, one of its three newest sentences, or what is said instead."""
+    ids = F.array_sort("entity_list")
+    c = constraints(spark, d).where("constraint_id % 20 = 0").select("constraint_id", F.get(ids, (F.col("constraint_id") % F.size(ids)).cast("int")).alias("entity"))
+    se = sentences(spark, d).select("_id", "news_date", F.explode("entity_set").alias("e")).select("_id", "news_date", F.lower(F.trim("e")).alias("entity")).where("entity <> ''").distinct()
+    se = se.join(c.select("entity").distinct(), "entity", "left_semi")
+    return D.intent_execution(c, se)
 
 
 _TY = "ty AS (SELECT DISTINCT kbid, unnest(types) AS type FROM kg_entity), wt AS (SELECT type FROM ty GROUP BY type HAVING count(*) >= 3)"
