@@ -87,3 +87,35 @@ def test_against_brute_force(spark):
                     want |= {(r["dump_id"], a, p, k, *x) for x in own or [("none", 0)]}
     got = [tuple(r) for r in N.qa_found(N.qa_triples(spark.read.parquet(f"{d}/qa_dump.parquet"))).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_any_depth():
+    import random
+
+    rng = random.Random(2)
+
+    def make(depth):
+        k = rng.randrange(6 if depth else 4)
+        if k == 4:
+            return [make(depth - 1) for _ in range(rng.randrange(4))]
+        if k == 5:
+            return {rng.choice(["a", "b", "\u00e9\n", ""]) + str(i): make(depth - 1) for i in range(rng.randrange(4))}
+        return [None, True, rng.choice([0, -1.5, 12e3]), 'x"\\'][k]
+
+    for _ in range(200):
+        x = make(4)
+        for text in (json.dumps(x), json.dumps(x, indent=1)):
+            assert N.read_deep(text) == x
+            cut = text[: rng.randrange(len(text))]
+            try:
+                want = json.loads(cut)
+            except ValueError:
+                want = ValueError
+            try:
+                got = N.read_deep(cut)
+            except ValueError:
+                got = ValueError
+            assert got == want
+    deep = '{"data": [{"title": "t", "paragraphs": [{"x": ' + "[" * 200_000 + "]" * 200_000 + ', "context": "c", "qas": []}]}]}'
+    got = list(N.triples_of(deep, frozenset(N.QA_ARRAYS)))
+    assert ("data[].paragraphs[].context", [0, 0], "value", "c") in got

@@ -5,7 +5,7 @@ repeated step; the ordinals are the places in those arrays, from 0, outermost fi
 ancestors form one group, and a group pivots into one table whose keys are the record id and the ordinals.
 
 Defined cases: a null record id is no record; a record sent again counts once (the last ``received_at``; among equal
-ones the larger text); text that is no valid JSON (also NaN, or nesting beyond the parser's depth) gives no rows; a null
+ones the larger text); text that is no valid JSON (also NaN) gives no rows; nesting has no limit; a null
 array member takes a place and gives no row; an object in the place of a declared array is its only member, place 0;
 a value of any other kind there is no member; an unknown field is ignored; an empty table gives empty tables.
 """
@@ -13,7 +13,9 @@ a value of any other kind there is no member; an unknown field is ignored; an em
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +48,78 @@ def _wrap_lone(x: object, path: str, arrays: frozenset[str]) -> object:
     return x
 
 
+_WHITE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?")
+
+
+def read_deep(text: str) -> object:
+    """One JSON text of any depth, read step by step with a stack of open arrays and objects; ValueError if it isn't valid."""
+    skip = lambda i: _WHITE.match(text, i).end()
+    stack: list[tuple[object, str | None]] = []
+    i, key = skip(0), None
+    while True:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            stack.append(({} if c == "{" else [], key))
+            i, key = skip(i + 1), None
+            if text[i : i + 1] == ("}" if c == "{" else "]"):
+                value, key = stack.pop()
+                i += 1
+            elif c == "[":
+                continue
+            else:
+                key, i = _key(text, i, skip)
+                continue
+        elif c == '"':
+            value, i = scanstring(text, i + 1)
+        else:
+            m = _PLAIN.match(text, i)
+            if not m:
+                raise ValueError(i)
+            value, i = json.loads(m.group()), m.end()
+        while True:  # a value is complete: put it where it belongs, and close what ends with it
+            i = skip(i)
+            if not stack:
+                if i != len(text):
+                    raise ValueError(i)
+                return value
+            into, own = stack[-1]
+            if isinstance(into, dict):
+                into[key] = value
+            else:
+                into.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i, key = skip(i + 1), None
+                if isinstance(into, dict):
+                    key, i = _key(text, i, skip)
+                break
+            if c != ("}" if isinstance(into, dict) else "]"):
+                raise ValueError(i)
+            stack.pop()
+            value, key = into, own
+            i += 1
+
+
+def _key(text: str, i: int, skip) -> tuple[str, int]:
+    if text[i : i + 1] != '"':
+        raise ValueError(i)
+    key, i = scanstring(text, i + 1)
+    i = skip(i)
+    if text[i : i + 1] != ":":
+        raise ValueError(i)
+    return key, skip(i + 1)
+
+
+def _leaf(x: object) -> str | None:
+    if isinstance(x, str):
+        return x
+    try:
+        return json.dumps(x, ensure_ascii=False)
+    except RecursionError:  # an array in the place of a single value, deeper than can be written
+        return None
+
+
 def triples_of(text: str, arrays: frozenset[str], root: str | None = None) -> Iterator[tuple[str, list[int], str, str | None]]:
     """(path, ordinals, kind, value) of each member and leaf of one JSON text, in document order.
 
@@ -53,7 +127,12 @@ def triples_of(text: str, arrays: frozenset[str], root: str | None = None) -> It
     """
     try:
         top = json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            top = read_deep(text)
+        except ValueError:
+            return
+    except ValueError:
         return
     if root is not None and (isinstance(top, list) or isinstance(top, dict) and root not in top):
         top = {root: top}
@@ -74,7 +153,7 @@ def triples_of(text: str, arrays: frozenset[str], root: str | None = None) -> It
         elif x is None:
             yield path, list(at), "null", None
         else:
-            yield path, list(at), "value", x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+            yield path, list(at), "value", _leaf(x)
 
 
 def record_triples(df: DataFrame, id_col: str, text: Column, arrays: Iterable[str] = QA_ARRAYS, root: str | None = "data") -> DataFrame:
@@ -159,14 +238,7 @@ def qa_answers(triples: DataFrame) -> DataFrame:
 
 def qa_found(triples: DataFrame) -> DataFrame:
     """One row per answer, and one of kind ``none``, number 0, per question without any (TESTDATA's p6_found)."""
-    fields = {f"{_QUESTION}.answers[]": "answer", f"{_QUESTION}.plausible_answers[]": "plausible"}
-    rows = triples.where((F.col("kind") == "object") & F.col("path").isin(_QUESTION, *fields))
-    kind = F.when(F.col("path") == _QUESTION, "none")
-    for path, name in fields.items():
-        kind = kind.when(F.col("path") == path, name)
-    at = [F.col("ordinals")[i].cast("bigint").alias(k) for i, k in enumerate(_KEYS[:3])]
-    rows = rows.select(F.col("record_id").alias("dump_id"), *at, kind.alias("answer_kind"), F.coalesce(F.get("ordinals", F.lit(3)), F.lit(0)).cast("bigint").alias("answer_no"))
-    per = rows.groupBy("dump_id", *_KEYS[:3]).agg(F.collect_set(F.struct("answer_kind", "answer_no")).alias("all"))
-    real = F.filter("all", lambda x: x["answer_kind"] != "none")
-    one = per.withColumn("x", F.explode(F.when(F.size(real) > 0, real).otherwise(F.col("all"))))
-    return one.select("dump_id", *_KEYS[:3], "x.answer_kind", "x.answer_no")
+    keys = ["dump_id", *_KEYS[:3]]
+    answers = qa_answers(triples).select(*keys, "answer_kind", "answer_no")
+    none = qa_questions(triples).select(*keys).join(answers.select(*keys).distinct(), keys, "left_anti")
+    return answers.unionByName(none.select(*keys, F.lit("none").alias("answer_kind"), F.lit(0).cast("bigint").alias("answer_no")))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.operators import nested
 from textloom.plans.qa import QA_SQL, value_sql
-from textloom.runtime import table
+from textloom.runtime import materialize, table
 
 
 def _over(fn):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(nested.qa_triples(table(spark, sf_dir, "qa_dump")))
+        return fn(materialize(nested.qa_triples(table(spark, sf_dir, "qa_dump")), "triples"))
 
     return query
 
