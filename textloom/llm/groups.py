@@ -24,20 +24,20 @@ def block_pairs(members: DataFrame, group: list[str], key: str) -> DataFrame:
     return left.join(right, [*group, "block"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its least node) of an undirected graph given by columns a, b; large and small star by turns."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "label")
-    both = materialize(both, "edges")
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of an undirected graph given by columns a, b.
+
+    In each round every node takes the least label of its neighbours, then the label that label's own node has (pointer
+    jumping), until nothing changes, so the rounds grow with the logarithm of a path's length.
+    """
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "label")
+    while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = label.join(near, "node").withColumn("new", F.least("component", "near")).select("node", "component", "new")
-        # jump: take over the label of one's label
         jump = label.select(F.col("node").alias("new"), F.col("component").alias("over"))
         step = step.join(jump, "new", "left").withColumn("to", F.least("new", F.coalesce("over", "new")))
         step = materialize(step.select("node", "component", "to"), "label")
-        moved = not step.where("to <> component").isEmpty()
         label = step.select("node", F.col("to").alias("component"))
-        if not moved:
-            break
-    return label
+        if step.where("to <> component").isEmpty():
+            return label
