@@ -50,7 +50,9 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*[df[c] for c in columns]).collect()) if name in registry.ORACLE else [], key=key)
     if name not in registry.ORACLE:
-        assert df.columns and df.limit(1).collect()
+        larger = os.path.join(os.path.dirname(DATA), "sf0.01")
+        rows = df.limit(1).collect() or registry.QUERIES[name](spark, larger).limit(1).collect()  # the smallest tables may hold no case
+        assert columns and rows
         return
     cur = duck.execute(registry.ORACLE[name])
     names = [c[0] for c in cur.description]
