@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.groups import block_pairs, components
-from textloom.runtime import materialize
+from textloom.runtime import add_dense_ids, materialize
 
-COSINE = 0.5
+COSINE = 0.4
 LINKAGE = 0.2
 #: Largest component linked in one task; larger ones are linked in rounds over all tasks, with the same result.
 COMPONENT = 300
+#: Keys of one n-gram that meet in one task.
+GRAM_BLOCK = 400
 #: The nickname table is sent to all tasks; a larger one is refused.
 NICKNAMES = 100_000
 
@@ -172,34 +174,56 @@ def nickname_forms(nicknames: DataFrame) -> dict[str, str]:
 
 
 def grams(word: str) -> list[str]:
-    """Padded trigrams of each word of a key; of keys in Han characters single characters and padded pairs."""
+    """Padded four-grams of each word of a key; of keys in Han characters single characters and padded pairs.
+
+    Each bears the number of words (of Han characters), as keys of other numbers can't be linked.
+    """
     if _HAN.search(word):
         t = f"^{word}$"
-        return list(dict.fromkeys([*word, *(t[i : i + 2] for i in range(len(t) - 1))]))
-    return list(dict.fromkeys(t[i : i + 3] for w in word.split(" ") for t in (f"^^{w}$$",) for i in range(len(t) - 2)))
+        return list(dict.fromkeys(f"{len(word)}{g}" for g in [*word, *(t[i : i + 2] for i in range(len(t) - 1))]))
+    words = word.split(" ")
+    return list(dict.fromkeys(f"{len(words)}{t[i : i + 4]}" for w in words for t in (f"^^{w}$$",) for i in range(len(t) - 3)))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(w, g) for w in b.column(0).to_pylist() for g in grams(w)]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([g for _, g in rows], pa.string())], names=["word", "gram"])
+        rows = [(i, g, len(w), 0 if _HAN.search(w) else w.count(" ") + 1) for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for g in grams(w)]
+        cols = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["id", "gram", "size", "slack"])
 
 
-def cosine_pairs(words: DataFrame, least: float = COSINE) -> DataFrame:
-    """a < b, cosine of all pairs of words (column word, distinct) whose n-gram vectors reach ``least``."""
-    n = words.count()
-    rows = materialize(words.select("word").mapInArrow(_gram_rows, "word string, gram string"), "grams")
+def cosine_pairs(words: DataFrame, least: float = COSINE, any_size: bool = True) -> DataFrame:
+    """a < b, cosine of all pairs of words (column word, distinct) whose n-gram vectors reach ``least``.
+
+    Pairs that share a prefix n-gram are added up over the prefixes; only those whose sum, with the norms of what is left
+    of both, can reach the bound are compared in full. ``any_size``: false leaves out pairs whose lengths differ by more
+    than an error per word.
+    """
+    ids = materialize(add_dense_ids(words.select("word"), ["word"], "id"), "ids")
+    n = ids.count()
+    rows = materialize(ids.select("id", "word").mapInArrow(_gram_rows, "id bigint, gram string, size int, slack int"), "grams")
     df = rows.groupBy("gram").agg(F.count("*").alias("df"))
     w = rows.join(df, "gram").withColumn("w", F.log((F.lit(float(n)) + 1) / F.col("df")) + 0.1)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("word")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     w = w.withColumn("w", F.col("w") / norm)
-    left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("word").orderBy(F.desc("df"), "gram"))
-    vectors = materialize(w.withColumn("prefix", left >= least * least).select("word", "gram", "w", "prefix"), "vectors")
-    pairs = block_pairs(vectors.where("prefix").select("gram", "word"), ["gram"], "word").distinct().toDF("a", "b")
-    va = vectors.select(F.col("word").alias("a"), "gram", F.col("w").alias("wa"))
-    vb = vectors.select(F.col("word").alias("b"), "gram", F.col("w").alias("wb"))
-    dots = pairs.join(va, "a").join(vb, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dots.where(F.col("cosine") >= least)
+    left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.desc("df"), "gram"))
+    w = w.withColumn("prefix", left >= least * least)
+    rest = F.sqrt(F.sum(F.when(~F.col("prefix"), F.col("w") * F.col("w")).otherwise(0.0)).over(Window.partitionBy("id")))
+    vectors = materialize(w.select("id", "gram", "w", "df", "size", "slack", "prefix", rest.alias("rest")), "vectors")
+    p = vectors.where("prefix and df > 1").withColumn("blocks", F.ceil(F.col("df") / GRAM_BLOCK).cast("bigint"))
+    side = lambda t, s: t.select("gram", "block", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("w", "rest", "size")], *(["slack"] if s == "a" else []))
+    x = side(p.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "a")
+    y = side(p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))), "b")
+    met = x.join(y, ["gram", "block"]).where("a < b")
+    if not any_size:
+        met = met.where(F.abs(F.col("size_a") - F.col("size_b")) <= F.col("slack"))
+    part = met.groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.max(F.col("rest_a") * F.col("rest_b")).alias("rest"))
+    pairs = materialize(part.where(F.col("part") + F.col("rest") >= least - 1e-9).select("a", "b"), "pairs")
+    va = vectors.select(F.col("id").alias("a"), "gram", F.col("w").alias("wa"))
+    vb = vectors.select(F.col("id").alias("b"), "gram", F.col("w").alias("wb"))
+    dots = pairs.join(va, "a").join(vb, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+    name = lambda s: ids.select(F.col("id").alias(s), F.col("word").alias(f"word_{s}"))
+    return dots.join(name("a"), "a").join(name("b"), "b").select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "cosine")
 
 
 def average_linkage(a: np.ndarray, b: np.ndarray, sim: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
@@ -242,7 +266,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_clusters(words: DataFrame) -> DataFrame:
     """word, cluster (its most frequent spelling) of all keys that have near spellings; keys without any are left out. ``words``: word, n (how often), distinct."""
-    links = cosine_pairs(words).mapInArrow(_check, "a string, b string, cosine double")
+    links = cosine_pairs(words, any_size=False).mapInArrow(_check, "a string, b string, cosine double")
     links = links.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     links = materialize(links.select("a", "b", "cosine", "na", "nb"), "links")
     label = components(links)
