@@ -10,8 +10,9 @@ Cells around centroids with triangle bounds can't pass anything by here, as meas
 all lie at about the same distance from any centroid. Min-wise cells find a pair at the threshold of 0.6 with probability
 1 - (1 - 0.6^4)^66 = 0.9999, one at 0.65 with 0.999998; the tests measure this recall.
 
-What a batch costs: its own cells and texts; of history the cell codes of the buckets its cells fall in, and of texts only
-the buckets that hold a candidate. A batch is written to folders of its own and counts once its marker file is there, so a
+What a batch costs: its own cells and texts; of history the cell codes of the buckets its cells fall in are read, and sifted
+by a bitmap of the batch's cells, so that hardly more than the matching ones is shuffled; of texts only the buckets that
+hold a candidate. A batch is written to folders of its own and counts once its marker file is there, so a
 broken attempt leaves nothing behind and can be repeated; articles that are in the index already are passed by.
 ``compact`` joins the folders of all batches into one.
 
@@ -48,6 +49,8 @@ HOT = 200
 #: Folders the cells and texts of one batch are spread over, so that reads can pass by those they don't need.
 CELL_BUCKETS, TEXT_BUCKETS = 32, 8
 NO_DATE = 2**31 - 1
+#: Bits of the bitmap of a batch's cells that history is sifted by before any shuffle (4 MB).
+FILTER_BITS = 1 << 25
 
 _STRIP = regex.compile(r"[^\p{L}\p{N}]+")
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -140,6 +143,16 @@ def _cells(arts: DataFrame) -> DataFrame:
     return arts.select("id", "n", F.explode("cells").alias("cell"))
 
 
+def _maybe_in(known: DataFrame, cells: DataFrame) -> DataFrame:
+    """``known`` without the rows whose cell surely isn't among ``cells``, by a bitmap of ``FILTER_BITS`` bits sent to all tasks."""
+    h = F.pmod(F.xxhash64("cell"), F.lit(FILTER_BITS))
+    page, at = F.floor(h / 32768).cast("int"), (h % 32768).cast("int")
+    bits = cells.select(page.alias("page"), at.cast("bigint").alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = known.withColumn("page", page).withColumn("at", at).join(F.broadcast(bits), "page")  # FILTER_BITS / 8 bytes at most
+    return held.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).drop("page", "at", "bits")
+
+
 def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("bucket")
 
@@ -246,7 +259,7 @@ class ArticleIndex:
         texts = arts.select("id", "text")
         probed = None
         if base:
-            known = _side(self.cells_for(_cells(arts), count), "b")
+            known = _side(_maybe_in(self.cells_for(_cells(arts), count), _cells(arts)), "b")
             probed = _side(_cells(arts), "a").join(known, "cell").where(_near()).select("a", "b").distinct()
         left, sure, gone, old = arts.select("id", "n", "cells"), [], [], None
         met = _shared_cells(left)
