@@ -354,7 +354,7 @@ def test_index_is_kept(spark, tmp_path):
     got = again.add(spark.createDataFrame([("a", 1, old), ("b", 2, old[:-3] + "xyz"), ("c", 2, old[::-1])], ddl))
     assert [tuple(r) for r in got.collect()] == [("b", "a")]
     # a broken attempt (folders without their marker) counts for nothing
-    spark.createDataFrame([(1, "z", 1, 9, old, 0)], "id long, docid string, news_date int, n int, text string, bucket int").write.partitionBy("bucket").parquet(f"{path}/texts/3-3")
+    spark.createDataFrame([(1, "z", 1, 9, old, 0)], "id long, docid string, news_date int, n int, text string, bucket int").write.partitionBy("bucket").parquet(f"{path}/texts/batches=3-3")
     again.compact()
     assert sorted(r["docid"] for r in again.accepted().collect()) == ["a", "c"] and len(again._done()) == 1
     got = again.add(spark.createDataFrame([("d", 3, old[:-3] + "abc")], ddl))

@@ -49,8 +49,8 @@ HOT = 200
 #: Folders the cells and texts of one batch are spread over, so that reads can pass by those they don't need.
 CELL_BUCKETS, TEXT_BUCKETS = 32, 8
 NO_DATE = 2**31 - 1
-#: Bits of the bitmap of a batch's cells that history is sifted by before any shuffle (4 MB).
-FILTER_BITS = 1 << 25
+#: Bits of the bitmap of a batch's cells that history is sifted by before any shuffle (512 KB).
+FILTER_BITS = 1 << 22
 
 _STRIP = regex.compile(r"[^\p{L}\p{N}]+")
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -180,13 +180,10 @@ class ArticleIndex:
         return kept
 
     def _kept(self, name: str, ddl: str, buckets: list[int] | None = None) -> DataFrame:
-        folders = [f"{self.path}/{name}/{low}-{high}" for low, high in self._done()]
+        folders = [f"{self.path}/{name}/batches={low}-{high}" for low, high in self._done()]
         if not folders or buckets == []:
             return self.spark.createDataFrame([], ddl).drop("bucket")
-        parts = [self.spark.read.schema(ddl).parquet(f) for f in folders]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = self.spark.read.schema(f"{ddl}, batches string").option("basePath", f"{self.path}/{name}").parquet(*folders).drop("batches")
         return (out.where(F.col("bucket").isin(buckets)) if buckets is not None else out).drop("bucket")
 
     def accepted(self) -> DataFrame:
@@ -210,7 +207,7 @@ class ArticleIndex:
         files = articles * BANDS // (CELL_BUCKETS * 4_000_000) + 1
         for name, df, key, n in (("texts", texts, key, TEXT_BUCKETS), ("cells", cells, F.col("cell"), CELL_BUCKETS)):
             df = df.withColumn("bucket", _bucket(key, n)).repartition("bucket", F.pmod(key, F.lit(files)))
-            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/{batches}")
+            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batches={batches}")
 
     def compact(self) -> None:
         """Join the folders of all batches into one; the old ones stay for readers that began before."""
