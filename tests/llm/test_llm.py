@@ -252,6 +252,42 @@ def test_cosine_pairs(spark):
     assert got == want
 
 
+def test_keys_meet_within_classes(spark):
+    """All keys that may be links share a class; of keys that only share n-grams hardly any do."""
+    rng = random.Random(21)
+    house = lambda: "".join(rng.choice(["nil", "gil", "nol", "mos", "vil", "ges", "zos", "bor"]) for _ in range(4))
+    keys = set()
+    for i in range(60):
+        words = [house() for _ in range(rng.choice([1, 2, 2, 3]))] + ["bo"] * (i % 5 == 0)
+        for _ in range(3):
+            typed = [list(w) for w in words]
+            for w in rng.sample(typed, rng.randrange(len(typed) + 1)):
+                k = rng.randrange(len(w) - 1)
+                w[k : k + 2] = rng.choice([[w[k + 1], w[k]], [w[k]], [w[k], "x", w[k + 1]], [w[k], "y"]])
+            keys.add(" ".join(sorted("".join(w) for w in typed)))
+    keys |= {"萨杰马露贝", "萨杰马露茉", "萨杰马贝露", "ana", "ann", "nilgilnol bo bo", "bo nilgilnol nilgilnol", "bo bo nilgilnox"}
+    cls = {r["word"]: r["class"] for r in names.key_classes(spark.createDataFrame([(w,) for w in sorted(keys)], "word string")).collect()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if names.name_errors(a, b) < 9}
+    within = {(a, b) for a, b in itertools.combinations(sorted(cls), 2) if cls[a] == cls[b]}
+    sharing = sum(bool(set(names.grams(a)) & set(names.grams(b))) for a, b in itertools.combinations(sorted(keys), 2))
+    assert len(near) > 50 and near <= within and len(within) < 0.2 * sharing
+    assert set(cls) == {w for p in within for w in p}
+
+
+def test_words_match_one_to_one():
+    assert names.name_errors("anna anna bob", "anna bob carl") == 9 and names.name_errors("boutros boutros ghali", "boutros ghali ghali") == 9
+    assert names.name_errors("anna anna bob", "anna anno bob") == 1
+
+
+def test_keys_of_several_names_are_paired_once(spark):
+    rows = [(k, n) for k in "xyz" for n in ("Tobrin Gurlurdurdis", "Kestova Runvulburmer")] + [("w", "Tobrin Gurlurdurdis")]
+    pairs = names.name_pairs(spark.createDataFrame(rows, "key string, name string"), spark.createDataFrame([], "given string, nick string"))
+    assert sorted(map(tuple, pairs.collect())) == [("w", "x"), ("w", "y"), ("w", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
+    # rows of one name alone aren't shuffled once more to be made distinct
+    mark = spark.createDataFrame([("g", "a", False), ("g", "b", True), ("g", "c", True)], "entity string, key string, several boolean")
+    assert sorted(map(tuple, groups.block_pairs(mark, ["entity"], "key", "several").collect())) == [("a", "b"), ("a", "c")]
+
+
 def test_components_and_blocks(spark, monkeypatch):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("x", "y")], "a string, b string")
     label = {r["node"]: r["component"] for r in groups.components(edges).collect()}

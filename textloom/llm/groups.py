@@ -11,17 +11,19 @@ from textloom.runtime import materialize
 BLOCK = 400
 
 
-def block_pairs(members: DataFrame, group: list[str], key: str) -> DataFrame:
+def block_pairs(members: DataFrame, group: list[str], key: str, but: str | None = None) -> DataFrame:
     """``key``_a < ``key``_b of all members of each group, not yet distinct over groups.
 
     ``members``: group columns and key, distinct. Members are hashed into blocks of about ``BLOCK``; each meets every
-    block of its group, so a group of any size is spread over tasks.
+    block of its group, so a group of any size is spread over tasks. ``but``: pairs of members that both have this mark are left out.
     """
     blocks = members.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint")).drop("n")
     m = members.join(blocks, group)
-    left = m.select(*group, F.col(key).alias(f"{key}_a"), F.pmod(F.xxhash64(key), "blocks").alias("block"))
-    right = m.select(*group, F.col(key).alias(f"{key}_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    return left.join(right, [*group, "block"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
+    mark = lambda s: [F.col(but).alias(f"__but_{s}")] if but else []
+    left = m.select(*group, F.col(key).alias(f"{key}_a"), *mark("a"), F.pmod(F.xxhash64(key), "blocks").alias("block"))
+    right = m.select(*group, F.col(key).alias(f"{key}_b"), *mark("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    pairs = left.join(right, [*group, "block"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return (pairs.where("not (__but_a and __but_b)") if but else pairs).select(f"{key}_a", f"{key}_b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@
    short forms and nicknames spelled out, its words as an unordered set. Han names lose their separators.
 2. Distinct keys become weighted character n-gram vectors over the whole name. A sparse cosine join finds all pairs above
    ``COSINE`` (prefix filter: rare n-grams first, until what is left can't reach the bound; n-grams of many keys are met in
-   blocks), so it needs no top-n cap. A pair counts as a link if its words can be matched with one typing error each.
+   blocks), so it needs no top-n cap. A pair counts as a link if its words can be matched with one typing error each, so keys
+   are joined within classes: words one typing error apart, found by what is left of them without one letter, get one label
+   with all that hang together, and a class has the same labels. What is alone in its class is in no vector or pair.
 3. Links are grouped by average linkage of all typed records (a key weighs as often as it was typed; pairs without a link
    count 0), so the spelling most people typed holds its misspellings together and two houses two letters apart stay apart.
 4. Names with an initial are keys of their own kind: they are held against the initials of the groups' spellings in the same
@@ -17,10 +19,11 @@ different keys link, whatever they are, but for an initial that fits several gro
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -97,8 +100,7 @@ def name_errors(a: str, b: str) -> int:
     x, y = a.split(" "), b.split(" ")
     if len(x) != len(y):
         return 9
-    only = [w for w in x if w not in y]
-    left = [w for w in y if w not in x]
+    only, left = ([*(Counter(s) - Counter(t)).elements()] for s, t in ((x, y), (y, x)))
     errors = 0
     for w in only:
         near = [v for v in left if min(len(w), len(v)) >= 4 and typing_errors(w, v, 1) <= 1]
@@ -192,30 +194,70 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["id", "gram", "size", "slack"])
 
 
-def cosine_pairs(words: DataFrame, least: float = COSINE, any_size: bool = True) -> DataFrame:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key's words with their number; a key in Han characters counts as one word."""
+    for b in batches:
+        rows = [(t, f"{n} {w}") for t in b.column(0).to_pylist() for n, words in ((0, [t]) if _HAN.search(t) else (t.count(" ") + 1, t.split(" ")),) for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 2, names=["word", "part"])
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of four letters at least, and what is left of them without one letter; of Han keys with its place, as they differ by substitution alone."""
+    for b in batches:
+        rows = []
+        for part in b.column(0).to_pylist():
+            n, _, w = part.partition(" ")
+            if len(w) >= 4:
+                rows += [(part, f"{n} {i} {w[:i]}{w[i + 1 :]}") for i in range(len(w))] if n == "0" else [(part, x) for x in {part, *(f"{n} {w[:i]}{w[i + 1 :]}" for i in range(len(w)))}]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 2, names=["part", "rest"])
+
+
+def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = [name_errors(x.partition(" ")[2], y.partition(" ")[2]) < 9 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.filter(pa.array(ok, pa.bool_()))
+
+
+def key_classes(words: DataFrame) -> DataFrame:
+    """word, class of all keys that have others in theirs; keys that ``name_errors`` can match are in one class. ``words``: word, distinct."""
+    parts = materialize(words.select("word").mapInArrow(_word_rows, "word string, part string"), "parts")
+    # equal hashes of different rests only give pairs more to check
+    rests = parts.select("part").distinct().mapInArrow(_shortened, "part string, rest string").select("part", F.xxhash64("rest").alias("rest"))
+    met = materialize(rests.withColumn("m", F.count("*").over(Window.partitionBy("rest"))).where("m > 1").select("rest", "part"), "met")
+    pairs = met.withColumnRenamed("part", "a").join(met.withColumnRenamed("part", "b"), "rest").where("a < b").select("a", "b").distinct()
+    label = components(pairs.mapInArrow(_near_words, "a string, b string")).withColumnRenamed("node", "part")
+    # a sum of hashes of 44 bits: the same for the same labels in any order
+    labels = parts.join(label, "part", "left").select("word", F.shiftright(F.xxhash64(F.coalesce("component", "part")), 20).alias("label"))
+    sums = labels.groupBy("word").agg(F.sum("label").alias("class"))
+    return materialize(sums.withColumn("m", F.count("*").over(Window.partitionBy("class"))).where("m > 1").select("word", "class"), "classes")
+
+
+def cosine_pairs(words: DataFrame, least: float = COSINE, classes: DataFrame | None = None) -> DataFrame:
     """a < b, cosine of all pairs of words (column word, distinct) whose n-gram vectors reach ``least``.
 
     Pairs that share a prefix n-gram are added up over the prefixes; only those whose sum, with the norms of what is left
-    of both, can reach the bound are compared in full. ``any_size``: false leaves out pairs whose lengths differ by more
-    than an error per word.
+    of both, can reach the bound are compared in full. ``classes`` (of ``key_classes``): pairs of one class alone; n-grams
+    are weighed by all words all the same.
     """
-    ids = materialize(add_dense_ids(words.select("word"), ["word"], "id"), "ids")
-    n = ids.count()
-    rows = materialize(ids.select("id", "word").mapInArrow(_gram_rows, "id bigint, gram string, size int, slack int"), "grams")
-    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
-    w = rows.join(df, "gram").withColumn("w", F.log((F.lit(float(n)) + 1) / F.col("df")) + 0.1)
+    n = words.count()
+    grams_of = lambda t: t.mapInArrow(_gram_rows, "id bigint, gram string, size int, slack int")
+    df = materialize(grams_of(words.select(F.lit(0).cast("bigint").alias("id"), "word")).groupBy("gram").agg(F.count("*").alias("df")), "df")
+    kept = words.select("word", F.lit(0).cast("bigint").alias("class")) if classes is None else classes
+    ids = materialize(add_dense_ids(kept.select("word", "class"), ["word"], "id"), "ids")
+    w = grams_of(ids.select("id", "word")).join(df, "gram").withColumn("w", F.log((F.lit(float(n)) + 1) / F.col("df")) + 0.1)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     w = w.withColumn("w", F.col("w") / norm)
     left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.desc("df"), "gram"))
     w = w.withColumn("prefix", left >= least * least)
     rest = F.sqrt(F.sum(F.when(~F.col("prefix"), F.col("w") * F.col("w")).otherwise(0.0)).over(Window.partitionBy("id")))
     vectors = materialize(w.select("id", "gram", "w", "df", "size", "slack", "prefix", rest.alias("rest")), "vectors")
-    p = vectors.where("prefix and df > 1").withColumn("blocks", F.ceil(F.col("df") / GRAM_BLOCK).cast("bigint"))
-    side = lambda t, s: t.select("gram", "block", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("w", "rest", "size")], *(["slack"] if s == "a" else []))
+    p = vectors.where("prefix and df > 1").join(ids.select("id", "class"), "id").withColumn("m", F.count("*").over(Window.partitionBy("class", "gram")))
+    p = materialize(p.where("m > 1").withColumn("blocks", F.ceil(F.col("m") / GRAM_BLOCK).cast("bigint")), "prefixes")
+    side = lambda t, s: t.select("class", "gram", "block", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("w", "rest", "size")], *(["slack"] if s == "a" else []))
     x = side(p.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "a")
     y = side(p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))), "b")
-    met = x.join(y, ["gram", "block"]).where("a < b")
-    if not any_size:
+    met = x.join(y, ["class", "gram", "block"]).where("a < b")
+    if classes is not None:
         met = met.where(F.abs(F.col("size_a") - F.col("size_b")) <= F.col("slack"))
     part = met.groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.max(F.col("rest_a") * F.col("rest_b")).alias("rest"))
     pairs = materialize(part.where(F.col("part") + F.col("rest") >= least - 1e-9).select("a", "b"), "pairs")
@@ -247,15 +289,30 @@ def average_linkage(a: np.ndarray, b: np.ndarray, sim: np.ndarray, weight: np.nd
     return label
 
 
-def _link_component(rows: pd.DataFrame) -> pd.DataFrame:
-    counts = dict(zip(rows["a"], rows["na"])) | dict(zip(rows["b"], rows["nb"]))
+def _link_component(rows: list[tuple]) -> list[tuple[str, str]]:
+    """word, cluster of one component's links (component, a, b, cosine, na, nb)."""
+    counts = {r[1]: r[4] for r in rows} | {r[2]: r[5] for r in rows}
     words = sorted(counts)
     at = {w: i for i, w in enumerate(words)}
-    label = average_linkage(rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy(), rows["cosine"].to_numpy(), np.array([counts[w] for w in words]), LINKAGE)
+    label = average_linkage(np.array([at[r[1]] for r in rows]), np.array([at[r[2]] for r in rows]), np.array([r[3] for r in rows]), np.array([counts[w] for w in words]), LINKAGE)
     lead = {}
     for w, c in sorted(zip(words, label), key=lambda x: (-counts[x[0]], x[0])):
         lead.setdefault(c, w)
-    return pd.DataFrame({"word": words, "cluster": [lead[c] for c in label]})
+    return [(w, lead[c]) for w, c in zip(words, label)]
+
+
+def _link_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by component, each component whole."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+    out: list[tuple[str, str]] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["word", "cluster"])
+    for _, own in groupby(rows, key=lambda r: r[0]):
+        out += _link_component(list(own))
+        if len(out) > 5000:
+            yield made()
+            out = []
+    if out:
+        yield made()
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +323,14 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_clusters(words: DataFrame) -> DataFrame:
     """word, cluster (its most frequent spelling) of all keys that have near spellings; keys without any are left out. ``words``: word, n (how often), distinct."""
-    links = cosine_pairs(words, any_size=False).mapInArrow(_check, "a string, b string, cosine double")
+    links = cosine_pairs(words, classes=key_classes(words)).mapInArrow(_check, "a string, b string, cosine double")
     links = links.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     links = materialize(links.select("a", "b", "cosine", "na", "nb"), "links")
     label = components(links)
     sized = label.join(label.groupBy("component").count(), "component")
     edges = materialize(links.join(sized.select(F.col("node").alias("a"), "component", "count"), "a"), "edges")
-    done = edges.where(F.col("count") <= COMPONENT).groupBy("component").applyInPandas(lambda rows: _link_component(rows), "word string, cluster string")
+    small = edges.where(F.col("count") <= COMPONENT).select("component", "a", "b", "cosine", "na", "nb").repartition("component").sortWithinPartitions("component")
+    done = small.mapInArrow(_link_components, "word string, cluster string")
     large = edges.where(F.col("count") > COMPONENT).select("a", "b", "cosine", "na", "nb")
     return materialize(done if large.isEmpty() else done.unionByName(_link_large(large)), "clusters")
 
@@ -340,5 +398,8 @@ def name_groups(names: DataFrame, nicknames: DataFrame) -> DataFrame:
 
 def name_pairs(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     """key_a < key_b of all keys that mean the same entity."""
-    groups = materialize(name_groups(names, nicknames), "entities")
-    return block_pairs(groups, ["entity"], "key").distinct()
+    groups = name_groups(names, nicknames)
+    # only keys of several entities can meet twice: their pairs alone are made distinct
+    groups = materialize(groups.withColumn("several", F.count("*").over(Window.partitionBy("key")) > 1), "entities")
+    once = block_pairs(groups, ["entity"], "key", "several")
+    return once.unionByName(block_pairs(groups.where("several"), ["entity"], "key").distinct())
