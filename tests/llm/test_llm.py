@@ -409,6 +409,36 @@ def test_only_needed_buckets_are_read(spark, tmp_path):
     assert index.texts_for(one).count() < 300 and index.texts_for(one).where("docid = 'h7'").count() == 1
 
 
+def test_jobs_of_a_batch(spark):
+    """A batch costs few jobs, as each leaves plans, threads and broadcasts in the driver's memory."""
+    rng = random.Random(21)
+    text = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(300))
+    old = text()
+    arts = [(20210101 + 100 * k, f"m{k}{x}", t) for k in range(6) for x, t in (("a", old[: -1 - k] + "z" * k), ("b", text()), ("c", text()))]
+    rows = lambda n: spark.createDataFrame([(d, d, "s", 1, t, 1, date) for date, d, t in arts[: 3 * n]], SENTENCE)
+
+    def jobs(n):
+        began = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        got = {tuple(r) for r in history.repeated_articles(rows(n), 1).collect()}
+        assert got == {("m0a", f"m{k}a") for k in range(1, n)}
+        return spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - began
+
+    assert jobs(6) - jobs(2) <= 4 * 26
+
+
+@pytest.mark.parametrize("hot", [200, 1])
+def test_many_pairs_are_settled_in_rounds(spark, monkeypatch, hot):
+    """Each of a chain repeats its neighbours alone, the second also what is in history: in turn they are refused and accepted."""
+    monkeypatch.setattr(history, "FEW", 0)
+    monkeypatch.setattr(history, "HOT", hot)
+    rng = random.Random(22)
+    long = "".join(rng.choice(string.ascii_lowercase) for _ in range(1200))
+    arts = [(20210101 + 100 * (k > 0), f"c{k}", long[80 * k : 80 * k + 400]) for k in range(6)]
+    rows = [(d, d, "s", 1, t, 1, date) for date, d, t in arts]
+    got = [tuple(r) for r in history.repeated_articles(spark.createDataFrame(rows, SENTENCE), 1).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_repeats(arts) == {("c0", "c1"), ("c2", "c3"), ("c4", "c5")}
+
+
 def test_recall_near_the_bound():
     """Share of pairs of similarity 0.60 to 0.65 that share a cell."""
     rng = random.Random(8)

@@ -4,7 +4,8 @@ An article's vector is the set of its distinct runs of 5 characters. The index i
 lies in ``BANDS`` cells, each the joint code of ``ROWS`` of its min-wise components, and the accepted articles' cells and
 full texts are kept in two tables that grow by one folder a batch. A batch is probed cell by cell; a vector met there is
 passed by only if its distance must be over the bound by size (|x| < t |y|), all others are compared exactly by their
-full texts. What is accepted is appended.
+full texts. What is accepted is appended. Where several batches are at hand, what doesn't depend on history (vectors, order,
+pairs within a batch) is made for all of them at once, as each job leaves plans, threads and broadcasts in the driver's memory.
 
 Cells around centroids with triangle bounds can't pass anything by here, as measured (README): vectors of unrelated texts
 all lie at about the same distance from any centroid. Min-wise cells find a pair at the threshold of 0.6 with probability
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.spans import code_points, gram_hashes
@@ -51,6 +52,8 @@ CELL_BUCKETS, TEXT_BUCKETS = 32, 8
 NO_DATE = 2**31 - 1
 #: Bits of the bitmap of a batch's cells that history is sifted by before any shuffle (512 KB).
 FILTER_BITS = 1 << 22
+#: Pairs of ids up to which first come, first accepted is settled on the driver; more are settled in rounds of joins.
+FEW = 50_000
 
 _STRIP = regex.compile(r"[^\p{L}\p{N}]+")
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -97,36 +100,49 @@ def articles(df: DataFrame) -> DataFrame:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["docid", "news_date", "text", "copy", "n", "cells"]
+    names = ["span", "docid", "news_date", "text", "copy", "n", "cells"]
     for b in batches:
         for k in range(0, b.num_rows, 1000):
             part = b.slice(k, 1000)
-            text = [normal_text(t or "") for t in part.column(2).to_pylist()]
+            text = [normal_text(t or "") for t in part.column(3).to_pylist()]
             made = [cells_of(t) for t in text]
             copy = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in text]
             ends = np.concatenate(([0], np.cumsum([len(c) for _, c in made]))).astype(np.int32)
             cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c in made])))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text), pa.array(copy, pa.binary()), pa.array([n for n, _ in made], pa.int32()), cells], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(text), pa.array(copy, pa.binary()), pa.array([n for n, _ in made], pa.int32()), cells], names=names)
+
+
+def _numbered(arts: DataFrame, start: int) -> DataFrame:
+    """span, docid, news_date, n, at, id, copies, text, cells of articles (span, docid, news_date, text); written once, by span.
+
+    ``at``: its number from ``start`` in order (date, then id), over all spans; ``id``: that of the first equal text of its
+    span, of which there are ``copies``. Only firsts have text and cells; an article without runs has no numbers, but its text.
+    """
+    new = materialize(arts.mapInArrow(_vectors, "span int, docid string, news_date int, text string, copy binary, n int, cells array<bigint>"), "new")
+    order = new.where("n > 0").select("span", "docid", "copy", F.coalesce("news_date", F.lit(NO_DATE)).alias("date"))
+    order = add_dense_ids(order, ["date", "docid"], "at", start)
+    w = Window.partitionBy("span", "copy")
+    first = order.select("docid", "at", F.min("at").over(w).alias("id"), F.count("*").over(w).alias("copies"))
+    own = F.coalesce(F.col("at") == F.col("id"), F.lit(True))
+    rows = new.join(first, "docid", "left").select("docid", "news_date", "n", "at", "id", "copies", *[F.when(own, F.col(c)).alias(c) for c in ("text", "cells")], "span")
+    path = scratch_path(arts.sparkSession, "arts")
+    rows.write.partitionBy("span").parquet(path)
+    return arts.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        a, c = b.column(2).to_pylist(), b.column(3).to_pylist()
+        a, c = b.column("text_a").to_pylist(), b.column("text_b").to_pylist()
         keep = pa.array([similarity(x, y) >= SHARE for x, y in zip(a, c)], pa.bool_())
-        yield b.select(["a", "b"]).filter(keep)
-
+        yield b.select(["a", "b", "span", "docid_a", "docid_b"]).filter(keep)
 
-def _texts_of(pairs: DataFrame, c: str, texts: DataFrame) -> DataFrame:
-    return texts.join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
-
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame | ArticleIndex) -> DataFrame:
-    """Candidate pairs (a of ``left``, b of ``right``, or of ``left`` and an index) that repeat each other, compared by full text; written once."""
-    pairs = materialize(pairs, "candidates")
-    if isinstance(right, ArticleIndex):  # the batch's own texts, and those of history it needs
-        right = left.unionByName(right.texts_for(pairs.select(F.col("b").alias("id"))).select("id", "text"))
-    both = pairs.join(_texts_of(pairs, "a", left), "a").join(_texts_of(pairs, "b", right), "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "pairs")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, span) of ``texts`` (id, docid, text) that repeat each other, compared by full text, with their docids; written once."""
+    ends = pairs.select("a", "b", "span", F.explode(F.array("a", "b")).alias("id"))
+    of = lambda side: [F.max(F.when(F.col("id") == F.col(side), F.col(c))).alias(f"{c}_{side}") for c in ("docid", "text")]
+    both = texts.join(ends, "id").groupBy("a", "b", "span").agg(*of("a"), *of("b"))
+    return materialize(both.mapInArrow(_verify, _PAIRS), "pairs")
 
 
 def _near() -> Column:
@@ -139,8 +155,8 @@ def _side(cells: DataFrame, side: str, *more: str) -> DataFrame:
     return cells.select("cell", F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *more)
 
 
-def _cells(arts: DataFrame) -> DataFrame:
-    return arts.select("id", "n", F.explode("cells").alias("cell"))
+def _cells(arts: DataFrame, *more: str) -> DataFrame:
+    return arts.select("id", "n", *more, F.explode("cells").alias("cell"))
 
 
 def _maybe_in(known: DataFrame, cells: DataFrame) -> DataFrame:
@@ -159,12 +175,14 @@ def _bucket(key: Column, n: int) -> Column:
 
 _TEXTS = "id bigint, docid string, news_date int, n int, text string, bucket int"
 _CELLS = "cell bigint, id bigint, n int, bucket int"
+_PAIRS = "a bigint, b bigint, span int, docid_a string, docid_b string"
 
 
 class ArticleIndex:
     """The persisted index; ``path`` is a shared folder, a new one by default. An index that is there is gone on with.
 
-    Accepted articles have numbers: the batch in the upper bits, the place in its order below. Those without runs have none.
+    Accepted articles have numbers: the first batch they were added with in the upper bits, the place in the order of all added
+    then below. Those without runs have none.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
@@ -223,78 +241,80 @@ class ArticleIndex:
 
         Articles that are in the index already are left out; the rest of a batch added again gives its cases again.
         """
+        return self.add_spans(batch.withColumn("span", F.lit(0)))
+
+    def add_spans(self, batches: DataFrame) -> DataFrame:
+        """Accept batches one after another, those of the lower ``span`` first, as ``add`` would, and return the cases of all.
+
+        What doesn't depend on what was accepted before (vectors, order, pairs within a batch) is made for all batches at once.
+        """
         done = self._done()
         number = done[-1][1] + 1 if done else 0
-        batch = batch.select("docid", F.col("news_date").cast("int").alias("news_date"), "text").where("docid is not null")
+        batches = batches.select("span", "docid", F.col("news_date").cast("int").alias("news_date"), "text").where("docid is not null")
         if done:
-            batch = batch.join(self.accepted().select("docid"), "docid", "left_anti")
-        new = materialize(batch.mapInArrow(_vectors, "docid string, news_date int, text string, copy binary, n int, cells array<bigint>"), "new")
-        when = F.struct(F.coalesce("news_date", F.lit(NO_DATE)).alias("d"), F.col("docid").alias("i"))
-        first = new.where("n > 0").groupBy("copy").agg(F.min(when).alias("first"), F.count("*").alias("copies"))
-        first = add_dense_ids(first.select("copy", "first", F.col("first.i").alias("docid"), "copies"), ["first"], "id", number << 40)
-        arts = materialize(new.drop("copy", "news_date").join(first, "docid"), "arts")
-        count = arts.count()
-        taken, old, links = self._compare(arts, number << 40, count)
-        named = arts.select("id", "docid", "first", "copies", "copy")
-        every = new.where("n > 0").select("docid", "copy", when.alias("at")).join(named.select("copy", F.col("id").alias("a"), "first", "copies"), "copy").drop("copy")
-        cases = every.where("copies > 1 and at > first").join(taken.select(F.col("id").alias("a")), "a", "left_semi").select("docid", F.col("first.i").alias("repeats"))
-        of_new = links.join(named.select(F.col("id").alias("b"), F.col("first").alias("at_b")), "b").join(every, "a").where("at > at_b").select("docid", F.col("at_b.i").alias("repeats"))
-        cases = cases.unionByName(of_new)
+            batches = batches.join(self.accepted().select("docid"), "docid", "left_anti").select("span", "docid", "news_date", "text")
+        rows = _numbered(batches, number << 40)
+        arts = rows.where("at = id")
+        met = _shared_cells(arts.select("span", "id", "n", "cells"))
+        largest = {r["span"]: r["m"] for r in met.groupBy("span").agg(F.max("m").alias("m")).collect()}  # a row per span
+        cool = [span for span, m in largest.items() if m <= HOT]
+        pairs = _verified(materialize(_met_pairs(met.where(F.col("span").isin(cool))), "candidates"), arts.select("id", "docid", "text"))
+        few = _few(pairs.select("span", "a", "b"))
+        links, refused, old = [pairs], [], []
+        counts = rows.groupBy("span").agg(F.count_if(F.col("at") == F.col("id")).alias("m")).collect()  # a row per span
+        for k, (span, count) in enumerate(sorted((r["span"], r["m"]) for r in counts)):
+            here = arts.where(F.col("span") == span)
+            if number + k:
+                old.append(self._repeats(here, count))
+            if largest.get(span, 0) > HOT:
+                out, more = self._compare_crowds(here, old[-1] if number + k else None)
+                links += more
+            else:
+                own = few if few is None else [(r["a"], r["b"]) for r in few if r["span"] == span]
+                out = _refused(pairs.where(F.col("span") == span), own, old[-1] if number + k else None)
+            refused.append(out)
+            stored = rows.where((F.col("span") == span) & F.expr("n = 0 or at = id")).join(out, "id", "left_anti")
+            self._write(f"{number + k}-{number + k}", stored.select("id", "docid", "news_date", "n", "text"), _cells(stored.where("n > 0")), count)
+            touch(self.spark, f"{self.path}/done/{number + k}-{number + k}")
+        return self._cases(rows, _union(refused, "id bigint"), _union(links, _PAIRS), _union(old, _PAIRS))
+
+    def _cases(self, rows: DataFrame, refused: DataFrame, links: DataFrame, old: DataFrame) -> DataFrame:
+        """Cases (docid, repeats) of numbered articles, of which some ids were ``refused``: copies of accepted texts, and links to accepted articles and to history."""
+        every = rows.where("n > 0").select("docid", "at", "id", "copies")
+        names = rows.where("at = id and copies > 1").join(refused, "id", "left_anti").select("id", F.col("docid").alias("repeats"))
+        cases = every.where("at > id").join(names, "id").select("docid", "repeats")
+        # a later copy of a refused text may follow what the first came before
+        links = links.select("a", "b", F.col("docid_b").alias("repeats")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("docid_a").alias("repeats"))).distinct()
+        links = links.join(refused.withColumnRenamed("id", "b"), "b", "left_anti")
+        links = links.unionByName(old.select("a", F.lit(-1).cast("bigint").alias("b"), F.col("docid_b").alias("repeats")))  # history came before all
+        return materialize(cases.unionByName(every.join(links.withColumnRenamed("a", "id"), "id").where("at > b").select("docid", "repeats")), "cases")
+
+    def _repeats(self, arts: DataFrame, count: int) -> DataFrame:
+        """Pairs of articles (a, so many) and of accepted ones of the index (b) that repeat each other."""
+        known = _side(_maybe_in(self.cells_for(_cells(arts), count), _cells(arts)), "b")
+        probed = _side(_cells(arts, "span"), "a", "span").join(known, "cell").where(_near()).select("a", "b", "span").distinct()
+        probed = materialize(probed, "candidates")
+        texts = self.texts_for(probed.select(F.col("b").alias("id")))
+        return _verified(probed, arts.select("id", "docid", "text").unionByName(texts))
+
+    def _compare_crowds(self, arts: DataFrame, old: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+        """Refused ids of a batch with cells over ``HOT``, without pairing crowds; pairs that repeat each other, all of those with an accepted article among them."""
+        texts = arts.select("id", "docid", "text")
+        left, sure, gone = arts.select("span", "id", "n", "cells"), [], []
         if old is not None:
-            names = self.texts_for(old.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("docid").alias("repeats"))
-            cases = cases.unionByName(old.join(names, "b").join(every, "a").select("docid", "repeats"))
-        cases = materialize(cases, "cases")
-        kept = arts.join(taken, "id", "left_semi")
-        dates = named.join(taken, "id", "left_semi").select("docid", "id")
-        stored = new.where("n = 0").withColumn("id", F.lit(None).cast("bigint")).unionByName(new.join(dates, "docid"))
-        self._write(f"{number}-{number}", stored.select("id", "docid", "news_date", "n", "text"), _cells(kept), count)
-        touch(self.spark, f"{self.path}/done/{number}-{number}")
-        return cases
-
-    def _compare(self, arts: DataFrame, base: int, count: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-        """Accepted ids of a batch; pairs (of the batch, of history) that repeat each other; pairs (of the batch, accepted) that do, in either order."""
-        texts = arts.select("id", "text")
-        probed = None
-        if base:
-            known = _side(_maybe_in(self.cells_for(_cells(arts), count), _cells(arts)), "b")
-            probed = _side(_cells(arts), "a").join(known, "cell").where(_near()).select("a", "b").distinct()
-        left, sure, gone, old = arts.select("id", "n", "cells"), [], [], None
-        met = _shared_cells(left)
-        if _largest(met) > HOT:
-            if base:
-                old = _verified(probed, texts, self)
-                gone.append(materialize(old.select(F.col("a").alias("id")).distinct(), "gone"))
-                left = left.join(gone[0], "id", "left_anti")
-            left, met = self._thin_out(left, texts, sure, gone)
-        met = met.withColumn("blocks", F.ceil(F.col("m") / HOT).cast("bigint"))
-        x = _side(met, "a", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
-        y = _side(met, "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-        pairs = x.join(y, ["cell", "block"]).where((F.col("a") > F.col("b")) & _near()).select("a", "b").distinct()
-        if base and old is None:
-            both = _verified(pairs.unionByName(probed), texts, self)
-            old, pairs = both.where(F.col("b") < base), both.where(F.col("b") >= base)
-            lost = [materialize(old.select(F.col("a").alias("id")).distinct(), "gone")]
-        else:
-            pairs, lost = _verified(pairs, texts, texts), []
-        open_pairs = _without(pairs, lost[0]) if lost else pairs
-        while not open_pairs.isEmpty():  # first come, first accepted
-            waits = open_pairs.select(F.col("a").alias("b")).distinct()
-            out = materialize(open_pairs.join(waits, "b", "left_anti").select(F.col("a").alias("id")).distinct(), "out")
-            lost.append(out)
-            open_pairs = materialize(_without(open_pairs, out), "left")
-        taken = left.select("id")
-        for out in lost:
-            taken = taken.join(out, "id", "left_anti")
+            gone.append(materialize(old.select(F.col("a").alias("id")).distinct(), "gone"))
+            left = left.join(gone[0], "id", "left_anti")
+        left, met = self._thin_out(left, texts, sure, gone)
+        links = [_verified(materialize(_met_pairs(met), "candidates"), texts)]
+        taken = left.select("id").join(_refused(links[0], None, None), "id", "left_anti")
         for more in sure:
             taken = taken.unionByName(more)
         taken = materialize(taken, "taken")
-        # a later copy of a refused text may follow what the first came before
-        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(taken.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
         for out in gone:  # what was thinned out is held against all that was accepted
-            late = _side(arts.join(out, "id", "left_semi").select("id", "n", "copies", F.explode("cells").alias("cell")), "a", "copies")
+            late = _side(_cells(arts.join(out, "id", "left_semi"), "copies", "span"), "a", "copies", "span")
             late = late.join(_side(_cells(arts.join(taken, "id", "left_semi")), "b"), "cell").where(((F.col("b") < F.col("a")) | (F.col("copies") > 1)) & _near())
-            pairs = pairs.unionByName(_verified(late.select("a", "b").distinct(), texts, texts))
-        return taken, old, pairs.distinct()
+            links.append(_verified(materialize(late.select("a", "b", "span").distinct(), "candidates"), texts))
+        return materialize(arts.select("id").join(taken, "id", "left_anti"), "refused"), links
 
     @staticmethod
     def _thin_out(left: DataFrame, texts: DataFrame, sure: list[DataFrame], gone: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -303,9 +323,9 @@ class ArticleIndex:
             met = _shared_cells(left)
             if _largest(met) <= HOT:
                 return left, met
-            led = materialize(met.where("lead <> id").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "led")
+            led = materialize(met.where("lead <> id").select(F.col("id").alias("a"), F.col("lead").alias("b"), "span").distinct(), "led")
             unsure = led.select(F.col("a").alias("id")).distinct()
-            hit = _verified(led.join(unsure.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), texts, texts)
+            hit = _verified(materialize(led.join(unsure.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "span"), "candidates"), texts)
             sure.append(materialize(left.select("id").join(unsure, "id", "left_anti"), "sure"))
             gone.append(materialize(hit.select(F.col("a").alias("id")).distinct(), "gone"))
             # what shares a cell with a first but doesn't repeat it stays; no progress means pairs must be made
@@ -316,10 +336,18 @@ class ArticleIndex:
 
 
 def _shared_cells(arts: DataFrame) -> DataFrame:
-    """cell, id, n, lead (the first id), m (how many) of all cells that hold several articles."""
-    spread = _cells(arts).repartition("cell")  # one exchange for both sides
-    lead = spread.groupBy("cell").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    return materialize(spread.join(lead, "cell"), "met")
+    """span, cell, id, n, lead (the first id), m (how many) of all cells that hold several articles of a span."""
+    spread = _cells(arts, "span").repartition("span", "cell")  # one exchange for both sides
+    lead = spread.groupBy("span", "cell").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    return materialize(spread.join(lead, ["span", "cell"]), "met")
+
+
+def _met_pairs(met: DataFrame) -> DataFrame:
+    """a > b of one span that share a cell and may match by size; large cells are met in blocks."""
+    met = met.withColumn("blocks", F.ceil(F.col("m") / HOT).cast("bigint"))
+    x = _side(met, "a", "span", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    y = _side(met, "b", "span", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return x.join(y, ["span", "cell", "block"]).where((F.col("a") > F.col("b")) & _near()).select("a", "b", "span").distinct()
 
 
 def _largest(met: DataFrame) -> int:
@@ -332,21 +360,43 @@ def _without(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs
 
 
+def _few(df: DataFrame) -> list[Row] | None:
+    """The rows, if they are ``FEW`` at most."""
+    rows = df.limit(FEW + 1).collect()  # FEW + 1 rows at most
+    return rows if len(rows) <= FEW else None
+
+
+def _refused(pairs: DataFrame, few: list[tuple[int, int]] | None, old: DataFrame | None) -> DataFrame:
+    """Ids refused in a batch whose ``pairs`` (``few``: the same, if they are few) repeat each other: a of ``old``, and by first come, first accepted; written once."""
+    before = _few(old.select("a")) if few is not None and old is not None else []
+    if few is not None and before is not None:
+        out = {r["a"] for r in before}
+        for a, b in sorted(few):  # what stands before a is settled
+            if b not in out:
+                out.add(a)
+        return materialize(pairs.sparkSession.createDataFrame([(x,) for x in sorted(out)], "id bigint").coalesce(1), "refused")
+    lost = [] if old is None else [materialize(old.select(F.col("a").alias("id")).distinct(), "gone")]
+    open_pairs = _without(pairs, lost[0]) if lost else pairs.select("a", "b")
+    while not open_pairs.isEmpty():
+        waits = open_pairs.select(F.col("a").alias("b")).distinct()
+        lost.append(materialize(open_pairs.join(waits, "b", "left_anti").select(F.col("a").alias("id")).distinct(), "out"))
+        open_pairs = materialize(_without(open_pairs, lost[-1]), "left")
+    return materialize(_union(lost, "id bigint", pairs.sparkSession), "refused")
+
+
+def _union(parts: list[DataFrame], ddl: str, spark: SparkSession | None = None) -> DataFrame:
+    """All rows of tables that were written, in one scan."""
+    spark = spark or SparkSession.active()
+    folders = {f.rpartition("/")[0] for df in parts for f in df.inputFiles()}
+    return spark.read.schema(ddl).parquet(*sorted(folders)) if folders else spark.createDataFrame([], ddl)
+
+
 def repeated_articles(df: DataFrame, months: int = 3, path: str | None = None) -> DataFrame:
     """docid_a < docid_b: each repeating article of ``search_sentence`` with the accepted ones it repeats.
 
     Each span of so many calendar months is one batch, articles without a date the last; the rows are the same for any span.
     """
-    spark = df.sparkSession
-    kept = scratch_path(spark, "articles")
     month = F.expr("news_date div 10000 * 12 + least(news_date div 100 % 100, 12)")  # never falls as the date grows
     every = articles(df).withColumn("span", F.coalesce(F.floor(month / months), F.lit(NO_DATE)).cast("int"))
-    every.write.partitionBy("span").parquet(kept)
-    every = spark.read.schema(every.schema).parquet(kept)
-    index, out = ArticleIndex(spark, path), None
-    for k in sorted(r["span"] for r in every.select("span").distinct().collect()):  # a row per span
-        cases = index.add(every.where(F.col("span") == k).drop("span"))
-        out = cases if out is None else out.unionByName(cases)
-    if out is None:
-        out = spark.createDataFrame([], "docid string, repeats string")
+    out = ArticleIndex(df.sparkSession, path).add_spans(every)
     return out.select(F.least("docid", "repeats").alias("docid_a"), F.greatest("docid", "repeats").alias("docid_b"))
